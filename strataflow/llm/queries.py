@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import pii, secrets
+from . import decontam, pii, secrets, simhash
 from .spans import digest_columns
 
 
@@ -22,5 +23,29 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[c.alias(k) for k, c in digest_columns(docs["secrets"], secrets.KINDS, secrets.BASE).items()])
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op4_secrets)}
-ORACLE_SQL: dict[str, str] = {}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.groups(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n = F.size("items").cast("long")
+    return rows.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op3_simhash, op4_secrets, op9_decontaminate)}
+ORACLE_SQL: dict[str, str] = {
+    "op9_decontaminate": r"""
+with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+bs as (select item_id, w, least(len(w), 8) as k, unnest(range(1, greatest(len(w) - 7, 1) + 1)) as pos from b where len(w) > 0),
+bw as (select distinct cast(item_id as varchar) as item, k, array_to_string(list_slice(w, pos, pos + k - 1), ' ') as g from bs),
+ks as (select distinct k from bw),
+ds as (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as pos from d, ks where len(w) >= k),
+h as (select s.doc_id, s.pos, s.k, bw.item from (select doc_id, pos, k, array_to_string(list_slice(w, pos, pos + k - 1), ' ') as g from ds) s join bw on bw.k = s.k and bw.g = s.g),
+p as (select doc_id, count(*) as n from (select distinct doc_id, unnest(range(pos, pos + k)) as p from h) group by doc_id),
+i as (select doc_id, count(distinct item) as n, string_agg(distinct item, ',' order by item) as items from h group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(p.n, 0) as n_hit, coalesce(i.n, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(i.n, 0) >= 2 as contaminated
+from d left join p on p.doc_id = d.doc_id left join i on i.doc_id = d.doc_id""",
+}
