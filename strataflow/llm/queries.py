@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, pii, secrets, simhash
+from . import decontam, langid, mixing, pii, quality, secrets, simhash, warc
 from .spans import digest_columns
 
 
@@ -34,7 +34,71 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_hit", n.alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n >= 2).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_simhash, op4_secrets, op9_decontaminate)}
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    rows = langid.identify(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~langid.held_out(F.col("doc_id")))
+    rows = quality.score(docs, quality.learn(docs, labels))
+    return rows.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def mixing_sql() -> str:
+    """The mix of op8 with one running sum for each leaf."""
+
+    def level(name: str, nodes: str, by: str, col: str, weights: dict) -> str:
+        part = f"partition by {by}" if by else ""
+        w = "cast(case " + "".join(f"when {col} = '{k}' then {v} " for k, v in weights.items()) + "else 1 end as double)" if weights else "cast(1 as double)"
+        return f"""
+{name}_w as (select *, {w} as w from ({nodes})),
+{name}_r as (select *, cap / w as ratio from {name}_w),
+{name}_b as (select *, sum(w) over ({part}) - coalesce(sum(w) over ({part} order by ratio, {col} rows between unbounded preceding and 1 preceding), 0) as rest_w,
+  above - coalesce(sum(cap) over ({part} order by ratio, {col} rows between unbounded preceding and 1 preceding), 0) as rest_b from {name}_r),
+{name}_f as (select *, cap * rest_w <= rest_b * w as fits from {name}_b),
+{name}_l as (select *, min(case when not fits then ratio end) over ({part}) as first_ratio from {name}_f),
+{name}_v as (select *, max(case when not fits and ratio = first_ratio then rest_b / rest_w end) over ({part}) as lvl from {name}_l),
+{name} as (select *, cast(floor(case when fits or lvl is null then cast(cap as double) else least(cast(cap as double), lvl * w) end) as bigint) as budget from {name}_v)"""
+
+    root = f"(select least(cast(floor(sum(t) * {mixing.SHARE}) as bigint), cast(sum(t) * {mixing.EPOCHS} as bigint)) from leaves)"
+    return rf"""
+with s as (select doc_id, concat('d', cast(coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4, 0) as varchar)) as d, coalesce(lang, '') as l, coalesce(source, '') as s,
+  cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as bigint) as t from documents),
+k as (select * from s where t > 0),
+leaves as (select d, l, s, cast(sum(t) as bigint) as t, cast(sum(t) as bigint) * {mixing.EPOCHS} as cap from k group by d, l, s),
+{level("a", f"select d, cast(sum(cap) as bigint) as cap, {root} as above from leaves group by d", "", "d", mixing.WEIGHTS["domain"])},
+{level("b", "select x.d, x.l, x.cap, a.budget as above from (select d, l, cast(sum(cap) as bigint) as cap from leaves group by d, l) x join a on a.d = x.d", "d", "l", mixing.WEIGHTS["language"])},
+{level("c", "select x.d, x.l, x.s, x.t, x.cap, b.budget as above from leaves x join b on b.d = x.d and b.l = x.l", "d, l", "s", mixing.WEIGHTS["source"])},
+p as (select d, l, s, budget // t as whole, budget % t as rest from c),
+h as (select k.*, whole, rest, md5(concat_ws(':', '{mixing.SEED}', cast(whole as varchar), cast(doc_id as varchar))) as h from k join p on p.d = k.d and p.l = k.l and p.s = k.s),
+u as (select *, sum(t) over (partition by d, l, s order by h, doc_id range between unbounded preceding and current row) as upto from h)
+select doc_id, d as mix_domain, l as mix_language, s as mix_source, t as mix_tokens, whole + cast(upto <= rest as bigint) as n_copies from u where whole + cast(upto <= rest as bigint) > 0"""
+
+
+B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+WARC_SQL = rf"""
+with p as (select page_id, coalesce(html, '') as html from pages),
+q as (select page_id, strlen(html) as n, sha1(html) as x from p),
+m as (select x, max(page_id) as first from q group by x)
+select q.page_id, cast(n as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('{B32}', cast(1 + ((cast('0x' || substr(q.x, 1 + 5 * (i // 4), 5) as bigint) >> (15 - 5 * (i % 4))) & 31) as bigint), 1)), '') as payload_digest,
+  case when q.page_id = first then 'response' else 'revisit' end as record_type, case when q.page_id = first then null else first end as refers_to
+from q join m on m.x = q.x"""
+
+QUERIES = {f.__name__: f for f in (op1_pii, op3_simhash, op4_secrets, op5_language, op6_warc, op7_quality, op8_mixing, op9_decontaminate)}
 ORACLE_SQL: dict[str, str] = {
     "op9_decontaminate": r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
@@ -48,4 +112,6 @@ p as (select doc_id, count(*) as n from (select distinct doc_id, unnest(range(po
 i as (select doc_id, count(distinct item) as n, string_agg(distinct item, ',' order by item) as items from h group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(p.n, 0) as n_hit, coalesce(i.n, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(i.n, 0) >= 2 as contaminated
 from d left join p on p.doc_id = d.doc_id left join i on i.doc_id = d.doc_id""",
+    "op6_warc": WARC_SQL,
+    "op8_mixing": mixing_sql(),
 }
