@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, pii, quality, secrets, simhash, warc
+from . import decontam, embed, langid, mixing, pii, quality, secrets, simhash, substrings, warc
 from .spans import digest_columns
 
 
@@ -23,6 +23,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[c.alias(k) for k, c in digest_columns(docs["secrets"], secrets.KINDS, secrets.BASE).items()])
 
 
+def op2_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -57,6 +61,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedupe(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def mixing_sql() -> str:
     """The mix of op8 with one running sum for each leaf."""
 
@@ -76,7 +84,8 @@ def mixing_sql() -> str:
     root = f"(select least(cast(floor(sum(t) * {mixing.SHARE}) as bigint), cast(sum(t) * {mixing.EPOCHS} as bigint)) from leaves)"
     return rf"""
 with s as (select doc_id, concat('d', cast(coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4, 0) as varchar)) as d, coalesce(lang, '') as l, coalesce(source, '') as s,
-  cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as bigint) as t from documents),
+  cast(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) as bigint) as t from documents),
 k as (select * from s where t > 0),
 leaves as (select d, l, s, cast(sum(t) as bigint) as t, cast(sum(t) as bigint) * {mixing.EPOCHS} as cap from k group by d, l, s),
 {level("a", f"select d, cast(sum(cap) as bigint) as cap, {root} as above from leaves group by d", "", "d", mixing.WEIGHTS["domain"])},
@@ -98,7 +107,7 @@ select q.page_id, cast(n as bigint) as payload_bytes,
   case when q.page_id = first then 'response' else 'revisit' end as record_type, case when q.page_id = first then null else first end as refers_to
 from q join m on m.x = q.x"""
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_simhash, op4_secrets, op5_language, op6_warc, op7_quality, op8_mixing, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_embedding, op3_simhash, op4_secrets, op5_language, op6_warc, op7_quality, op8_mixing, op9_decontaminate, op10_substrings)}
 ORACLE_SQL: dict[str, str] = {
     "op9_decontaminate": r"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
