@@ -233,7 +233,7 @@ def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", group:
     if not large.isEmpty():
         bytes_of, _ = cut(bytes_of, "contexts")
         large, _ = cut(large, "large")
-        each = bytes_of.join(large, "key", "left_semi").mapInArrow(single_windows, f"doc_id {kind}, rid long, key long, far long, hash binary, lo long, copies long")
+        each = bytes_of.join(large, "key", "left_semi").select(*bytes_of.columns).mapInArrow(single_windows, f"doc_id {kind}, rid long, key long, far long, hash binary, lo long, copies long")
         each, _ = cut(each, "windows")
         twice = each.groupBy("key", "far", "hash").count().where("count > 1").select("key", "far", "hash")
         spans = spans.union(each.where("copies = 1").join(twice, ["key", "far", "hash"], "left_semi").select("doc_id", "rid", "lo", (F.col("lo") + LENGTH).alias("stop")))
