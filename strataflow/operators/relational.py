@@ -57,7 +57,7 @@ SMALL = 64 << 20
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size, from file sizes or statistics."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def lookup_join(large: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
