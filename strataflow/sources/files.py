@@ -40,7 +40,7 @@ def copy_summary(spark: SparkSession, paths: str | list[str], schema: StructType
     _, rows = _read(spark, paths, schema, format, header, delimiter, 0, False, False)
     first = next(c for c in rows.columns if c not in (BROKEN, "_file"))
     got = rows.groupBy(F.col("_file").alias("uri")).agg(F.count_if(F.col(BROKEN).isNull()).alias("good"), F.count_if(F.col(BROKEN).isNotNull()).alias("error_count"), F.count(first).alias("_seen"))
-    return got.select("uri", (F.col("good") + F.col("_seen") * 0).alias("success_count"), "error_count")  # readers want one real column read
+    return got.select("uri", F.least("good", F.col("good") + F.col("_seen")).alias("success_count"), "error_count")  # readers want one real column read
 
 
 def copy_to(df: DataFrame, folder: str, format: str = "json_object", compression: str | None = None) -> int:
