@@ -97,6 +97,17 @@ u as (select *, sum(t) over (partition by d, l, s order by h, doc_id range betwe
 select doc_id, d as mix_domain, l as mix_language, s as mix_source, t as mix_tokens, whole + cast(upto <= rest as bigint) as n_copies from u where whole + cast(upto <= rest as bigint) > 0"""
 
 
+EMBEDDING_SQL = """
+with recursive v as (select vec_id, case when embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))
+  then cast(embedding as double[]) end as e from embeddings),
+n as (select vec_id, e, sqrt(list_dot_product(e, e)) as r from v where e is not null),
+l as (select a.vec_id as a, b.vec_id as b from n a join n b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / a.r / b.r >= 0.95),
+reach as (select a, b from l union select reach.a, l.b from reach join l on l.a = reach.b),
+c as (select a, min(b) as low from reach group by a),
+k as (select a, count(*) as n from l group by a)
+select v.vec_id, coalesce(k.n, 0) as n_links, least(v.vec_id, coalesce(c.low, v.vec_id)) as component_id, v.vec_id <= coalesce(c.low, v.vec_id) as kept
+from v left join k on k.a = v.vec_id left join c on c.a = v.vec_id"""
+
 B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 WARC_SQL = rf"""
 with p as (select page_id, coalesce(html, '') as html from pages),
@@ -121,6 +132,7 @@ p as (select doc_id, count(*) as n from (select distinct doc_id, unnest(range(po
 i as (select doc_id, count(distinct item) as n, string_agg(distinct item, ',' order by item) as items from h group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(p.n, 0) as n_hit, coalesce(i.n, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(i.n, 0) >= 2 as contaminated
 from d left join p on p.doc_id = d.doc_id left join i on i.doc_id = d.doc_id""",
+    "op2_embedding": EMBEDDING_SQL,
     "op6_warc": WARC_SQL,
     "op8_mixing": mixing_sql(),
 }
