@@ -53,15 +53,22 @@ def terms(query: str) -> list[str]:
     return [t for t in re.split(r"[^\w]+", query.lower()) if t]
 
 
-def match(text: Column, query: str, operator: str = "or", kind: str = "best_fields", analyzer: Analyzer = ANALYZERS["standard"]) -> Column:
-    """Whether text matches: by any or all of the query's terms, as a phrase, or as a phrase with a prefix at its end."""
+def match(text: Column, query: str, operator: str = "or", kind: str = "best_fields", analyzer: Analyzer = ANALYZERS["standard"], fuzziness: int = 0, slop: int = 0) -> Column:
+    """Whether text matches: by any or all of the query's terms, as a phrase, or as a phrase with a prefix at its end.
+    fuzziness: edits that a term may be away; slop: other words that a phrase may hold in all. analyzer: anything with
+    tokens(Column)."""
     tokens, words = analyzer.tokens(text), terms(query)
     if not words:
         return F.lit(False)
+    if kind == "phrase" and slop:
+        spread = len(words) + slop
+        near = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, spread), " "))
+        gap = r"(?: \S+){0,%d} " % slop
+        return F.exists(near, lambda x: x.rlike("^" + gap.join(words) + r"(?:\s|$)"))
     if kind in ("phrase", "phrase_prefix"):
         joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
         return joined.contains(" " + " ".join(words) + (" " if kind == "phrase" else ""))
-    one = [F.array_contains(tokens, w) for w in words]
+    one = [F.array_contains(tokens, w) if not fuzziness else F.exists(tokens, _near(w, fuzziness)) for w in words]
     out = one[0]
     for c in one[1:]:
         out = out & c if operator == "and" else out | c
@@ -86,3 +93,7 @@ def search(df: DataFrame, text: str, query: str, analyzer: Analyzer = ANALYZERS[
 
 def _equals(word: str):
     return lambda x: F.when(x == word, 1)
+
+
+def _near(word: str, edits: int):
+    return lambda x: F.levenshtein(x, F.lit(word), edits) >= 0
