@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Tables
@@ -10,7 +10,9 @@ from ..operators import relational as R
 from ..streaming import windows as SW
 from .registry import query, text
 
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+
+def revenue() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 def day(s: str):
@@ -23,8 +25,8 @@ from lineitem where l_shipdate <= timestamp '1998-09-02' group by l_returnflag,
 def pricing_summary(t: Tables) -> DataFrame:
     rows = t.lineitem.where(F.col("l_shipdate") <= day("1998-09-02"))
     return rows.groupBy("l_returnflag", "l_linestatus").agg(
-        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.sum(REVENUE), 2).alias("sum_disc_price"),
-        F.round(F.sum(REVENUE * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
+        F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"), F.round(F.sum(revenue()), 2).alias("sum_disc_price"),
+        F.round(F.sum(revenue() * (1 + F.col("l_tax"))), 2).alias("sum_charge"), F.round(F.avg("l_quantity"), 4).alias("avg_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
         F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count("*").alias("count_order"),
     )
 
@@ -35,7 +37,7 @@ def shipping_priority(t: Tables) -> DataFrame:
     c = t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey")
     o = t.orders.where(F.col("o_orderdate") < day("1998-03-15")).select("o_orderkey", "o_custkey", "o_orderdate")
     rows = t.lineitem.where(F.col("l_shipdate") > day("1998-03-15")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    return R.top(rows.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(REVENUE), 4).alias("revenue")), ["-revenue", "l_orderkey"], 10)
+    return R.top(rows.groupBy("l_orderkey", "o_orderdate").agg(F.round(F.sum(revenue()), 4).alias("revenue")), ["-revenue", "l_orderkey"], 10)
 
 
 @query("""select n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue from customer join orders on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey join supplier on l_suppkey = s_suppkey and c_nationkey = s_nationkey
@@ -46,7 +48,7 @@ def local_supplier_volume(t: Tables) -> DataFrame:
     o = t.orders.where((F.col("o_orderdate") >= day("1996-01-01")) & (F.col("o_orderdate") < day("1998-01-01"))).select("o_orderkey", "o_custkey")
     rows = t.lineitem.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     rows = rows.join(t.customer, (F.col("o_custkey") == F.col("c_custkey")) & (F.col("c_nationkey") == F.col("s_nationkey")))
-    return rows.groupBy("n_name").agg(F.round(F.sum(REVENUE), 4).alias("revenue"))
+    return rows.groupBy("n_name").agg(F.round(F.sum(revenue()), 4).alias("revenue"))
 
 
 @query("select round(sum(l_extendedprice * l_discount), 2) as revenue from lineitem where l_shipdate >= timestamp '1996-01-01' and l_shipdate < timestamp '1997-01-01' and l_discount between 0.05 and 0.07 and l_quantity < 24")

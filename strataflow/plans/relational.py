@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import Tables
@@ -14,15 +14,18 @@ from ..operators import timeseries as TS
 from ..operators import windows as W
 from .registry import query, text
 
-YEARS = (F.col("l_shipdate") >= "1995-01-01") & (F.col("l_shipdate") < "1997-01-01")
-REVENUE = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+YEARS = "l_shipdate >= '1995-01-01' and l_shipdate < '1997-01-01'"
+
+
+def revenue() -> Column:
+    return F.col("l_extendedprice") * (1 - F.col("l_discount"))
 
 
 @query("""select o_orderpriority, round(sum(l_extendedprice * (1 - l_discount)), 2) as revenue from orders join lineitem on o_orderkey = l_orderkey
 where l_shipdate >= timestamp '1995-01-01' and l_shipdate < timestamp '1997-01-01' group by o_orderpriority order by revenue desc limit 10""")
 def revenue_by_priority(t: Tables) -> DataFrame:
     joined = t.orders.select("o_orderkey", "o_orderpriority").join(t.lineitem.where(YEARS), F.col("o_orderkey") == F.col("l_orderkey"))
-    return R.top(joined.groupBy("o_orderpriority").agg(F.round(F.sum(REVENUE), 2).alias("revenue")), ["-revenue"], 10)
+    return R.top(joined.groupBy("o_orderpriority").agg(F.round(F.sum(revenue()), 2).alias("revenue")), ["-revenue"], 10)
 
 
 # scans, filters, predicates

@@ -28,50 +28,61 @@ def lists(t: Tables) -> DataFrame:
     return t.spark.sql(f"select * from {LISTS}")
 
 
-S, A, B = F.col("s"), F.col("a"), F.col("b")
+class Name:
+    """A column by name, made when it is used: there is no session yet when this module is read."""
+
+    def __init__(self, name: str):
+        self.name = name
+
+    def __get__(self, *_):
+        return F.col(self.name)
+
+
+class columns:
+    s, a, b = Name("s"), Name("a"), Name("b")
 
 
 @query(f"""select id, substr(s, 1, 2) as head, substr(s, 3) as tail, s[:-3] as but_last, case when s is null then null else right(s, 3) end as last3, substr(s, 3) as but_first,
 lpad(s, 8, '*') as lp, rpad(s, 3, '*') as rp, trim(s, 'hx') as tr, reverse(s) as rv, repeat(s, 2) as rp2, upper(replace(s, 'ß', 'ss')) as up, lower(s) as lo from {WORDS}""")
 def string_parts(t: Tables) -> DataFrame:
     cols = {
-        "head": strings.substr(S, 0, 2), "tail": strings.substr(S, 3), "but_last": strings.left(S, -2), "last3": strings.right(S, 3), "but_first": strings.right(S, -2), "lp": strings.lpad(S, 8, "*"),
-        "rp": strings.rpad(S, 3, "*"), "tr": strings.trim(S, "hx"), "rv": F.reverse(S), "rp2": F.repeat(S, 2), "up": F.upper(F.replace(S, F.lit("ß"), F.lit("ss"))), "lo": F.lower(S),
+        "head": strings.substr(columns.s, 0, 2), "tail": strings.substr(columns.s, 3), "but_last": strings.left(columns.s, -2), "last3": strings.right(columns.s, 3), "but_first": strings.right(columns.s, -2), "lp": strings.lpad(columns.s, 8, "*"),
+        "rp": strings.rpad(columns.s, 3, "*"), "tr": strings.trim(columns.s, "hx"), "rv": F.reverse(columns.s), "rp2": F.repeat(columns.s, 2), "up": F.upper(F.replace(columns.s, F.lit("ß"), F.lit("ss"))), "lo": F.lower(columns.s),
     }
     return words(t).select("id", *[c.alias(k) for k, c in cols.items()])
 
 
 @query(f"select id, length(s) as n, strlen(s) as bytes, 8 * strlen(s) as bits, strpos(s, 'o') as p, starts_with(s, 'foo') as st, replace(s, 'o', '00') as re, translate(s, 'abo', 'xy') as tl, md5(s) as m, sha1(s) as h from {WORDS}")
 def string_measures(t: Tables) -> DataFrame:
-    cols = {"n": F.char_length(S).cast("long"), "bytes": F.octet_length(S).cast("long"), "bits": F.bit_length(S).cast("long"), "p": strings.strpos(S, "o").cast("long"), "st": F.startswith(S, F.lit("foo")), "re": F.replace(S, F.lit("o"), F.lit("00")), "tl": F.translate(S, "abo", "xy"), "m": F.md5(S), "h": F.sha1(S)}
+    cols = {"n": F.char_length(columns.s).cast("long"), "bytes": F.octet_length(columns.s).cast("long"), "bits": F.bit_length(columns.s).cast("long"), "p": strings.strpos(columns.s, "o").cast("long"), "st": F.startswith(columns.s, F.lit("foo")), "re": F.replace(columns.s, F.lit("o"), F.lit("00")), "tl": F.translate(columns.s, "abo", "xy"), "m": F.md5(columns.s), "h": F.sha1(columns.s)}
     return words(t).select("id", *[c.alias(k) for k, c in cols.items()])
 
 
 @query(f"select id, concat(s, '-', id) as c, s || '-' || id as o, concat_ws('/', s, 'x', null) as w, split_part(s, ',', 2) as p2, split_part(s, ',', 9) as p9, printf('%05d|%s', id, coalesce(s, 'none')) as f from {WORDS}")
 def string_concat(t: Tables) -> DataFrame:
     text_id = F.col("id").cast("string")
-    return words(t).select("id", strings.concat(S, "-", F.col("id")).alias("c"), strings.concat_op(strings.concat_op(S, F.lit("-")), text_id).alias("o"), F.concat_ws("/", S, F.lit("x"), F.lit(None)).alias("w"), strings.split_part(S, ",", 2).alias("p2"), strings.split_part(S, ",", 9).alias("p9"), strings.format_("%05d|%s", F.col("id"), F.coalesce(S, F.lit("none"))).alias("f"))
+    return words(t).select("id", strings.concat(columns.s, "-", F.col("id")).alias("c"), strings.concat_op(strings.concat_op(columns.s, F.lit("-")), text_id).alias("o"), F.concat_ws("/", columns.s, F.lit("x"), F.lit(None)).alias("w"), strings.split_part(columns.s, ",", 2).alias("p2"), strings.split_part(columns.s, ",", 9).alias("p9"), strings.format_("%05d|%s", F.col("id"), F.coalesce(columns.s, F.lit("none"))).alias("f"))
 
 
 @query(f"""select id, regexp_replace(s, '[0-9]+', '#') as first_only, regexp_replace(s, '[0-9]+', '#', 'g') as every, len(regexp_extract_all(s, 'o')) as n,
 nullif(regexp_extract(s, '([a-z]+)[0-9]', 1), '') as g, regexp_full_match(s, '[a-z]+[0-9]+.*') as full_, case when s is null then null when s = 'foo123bar45' then 3 else 0 end as pos from {WORDS}""")
 def string_regexp(t: Tables) -> DataFrame:
     return words(t).select(
-        "id", strings.regexp_replace(S, "[0-9]+", "#").alias("first_only"), strings.regexp_replace(S, "[0-9]+", "#", "g").alias("every"), strings.regexp_count(S, "o").cast("long").alias("n"),
-        strings.substr_pattern(S, "([a-z]+)[0-9]").alias("g"), strings.full_match(S, "[a-z]+[0-9]+.*").alias("full_"), strings.regexp_instr(S, "[a-z][0-9]").alias("pos"),
+        "id", strings.regexp_replace(columns.s, "[0-9]+", "#").alias("first_only"), strings.regexp_replace(columns.s, "[0-9]+", "#", "g").alias("every"), strings.regexp_count(columns.s, "o").cast("long").alias("n"),
+        strings.substr_pattern(columns.s, "([a-z]+)[0-9]").alias("g"), strings.full_match(columns.s, "[a-z]+[0-9]+.*").alias("full_"), strings.regexp_instr(columns.s, "[a-z][0-9]").alias("pos"),
     )
 
 
 @query(f"select id, case when s = '' then [] else string_split(s, ',') end as parts, array_to_string(string_split(s, ','), '+') as joined, list_transform(string_split(s, ','), lambda x: nullif(x, 'b')) as nulls from {WORDS} where s is not null and s <> ''")
 def string_arrays(t: Tables) -> DataFrame:
-    parts = strings.string_to_array(S, ",")
-    return words(t).where("s is not null and s <> ''").select("id", parts.alias("parts"), strings.array_to_string(parts, "+").alias("joined"), strings.string_to_array(S, ",", "b").alias("nulls"))
+    parts = strings.string_to_array(columns.s, ",")
+    return words(t).where("s is not null and s <> ''").select("id", parts.alias("parts"), strings.array_to_string(parts, "+").alias("joined"), strings.string_to_array(columns.s, ",", "b").alias("nulls"))
 
 
 @query(f"select id, to_base64(encode(s)) as b64, lower(hex(encode(s))) as hx, decode(from_base64(to_base64(encode(s)))) as back, unicode(s) as code, chr(300 + id) as ch from {WORDS} where s <> ''")
 def string_codes(t: Tables) -> DataFrame:
-    hx = F.replace(strings.encode(S, "hex"), F.lit("\\x"), F.lit(""))
-    return words(t).where("s <> ''").select("id", strings.encode(S, "base64").alias("b64"), hx.alias("hx"), strings.decode(strings.encode(S, "base64"), "base64").alias("back"), F.ascii(S).alias("code"), strings.chr_(F.col("id") + 300).alias("ch"))
+    hx = F.replace(strings.encode(columns.s, "hex"), F.lit("\\x"), F.lit(""))
+    return words(t).where("s <> ''").select("id", strings.encode(columns.s, "base64").alias("b64"), hx.alias("hx"), strings.decode(strings.encode(columns.s, "base64"), "base64").alias("back"), F.ascii(columns.s).alias("code"), strings.chr_(F.col("id") + 300).alias("ch"))
 
 
 @query("select page_id, regexp_extract(url, '^([a-z]+):', 1) as scheme, regexp_extract(url, '//([^/?#]+)', 1) as host, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') as query, nullif(regexp_extract(url, '#(.*)$', 1), '') as fragment from pages where url like 'http%'")
@@ -83,7 +94,7 @@ def string_parse_url(t: Tables) -> DataFrame:
 
 @query(f"select id, case when s = 'a,b,,c' then '\"a,b,,c\"' when s = 'foo123bar45' then s else '\"' || s || '\"' end as q from {WORDS} where s is not null")
 def string_quote_ident(t: Tables) -> DataFrame:
-    return words(t).where("s is not null").select("id", strings.quote_ident(S).alias("q"))
+    return words(t).where("s is not null").select("id", strings.quote_ident(columns.s).alias("q"))
 
 
 @query("select event_id, strftime(ts, '%Y-%m-%d %H:%M') as a, strftime(ts, '%d.%m.%y %H:%M:%S') as b from events")
@@ -99,7 +110,7 @@ text("string_initcap", "select id, initcap(s) as s from (values (1, 'hello wOrld
 
 @query(f"select id, a + b as s, a - b as d, a * b as m, cast(trunc(a / b) as int) as q, a % b as r, abs(a) as ab, -a as ng, cast(sign(a) as double) as sg, cast(greatest(a, b, 3) as int) as gr, cast(least(a, b, 3) as int) as le from {INTS}")
 def math_integers(t: Tables) -> DataFrame:
-    cols = {"s": A + B, "d": A - B, "m": A * B, "q": maths.divide(A, B).cast("int"), "r": maths.modulus(A, B), "ab": F.abs(A), "ng": -A, "sg": F.signum(A), "gr": F.greatest(A, B, F.lit(3)), "le": F.least(A, B, F.lit(3))}
+    cols = {"s": columns.a + columns.b, "d": columns.a - columns.b, "m": columns.a * columns.b, "q": maths.divide(columns.a, columns.b).cast("int"), "r": maths.modulus(columns.a, columns.b), "ab": F.abs(columns.a), "ng": -columns.a, "sg": F.signum(columns.a), "gr": F.greatest(columns.a, columns.b, F.lit(3)), "le": F.least(columns.a, columns.b, F.lit(3))}
     return ints(t).select("id", *[c.alias(k) for k, c in cols.items()])
 
 
@@ -122,7 +133,7 @@ def math_real(t: Tables) -> DataFrame:
 
 @query(f"select id, a & b as n, a | b as o, xor(a, b) as x from {INTS}")
 def math_bits(t: Tables) -> DataFrame:
-    return ints(t).select("id", *[maths.bits(op, A, B).alias(k) for k, op in (("n", "and"), ("o", "or"), ("x", "xor"))])
+    return ints(t).select("id", *[maths.bits(op, columns.a, columns.b).alias(k) for k, op in (("n", "and"), ("o", "or"), ("x", "xor"))])
 
 
 @query("select '0010' as n, '1011' as o, '1001' as x")
@@ -182,22 +193,22 @@ def time_age(t: Tables) -> DataFrame:
 list_min(a) as mn, list_max(a) as mx, list_position(a, 2) as pos, cast(list_sum(a) as double) as su, list_avg(a) as av, nullif(len(a), 0) as ln from {DUCK_LISTS} where a is not null""")
 def array_basics(t: Tables) -> DataFrame:
     cols = {
-        "app": F.array_append(A, F.lit(5)), "pre": F.array_prepend(A, F.lit(5)), "cat": arrays.concat(A, B), "sl": arrays.slice_(A, 2, 3), "el": arrays.get(A, 2), "mn": F.array_min(A), "mx": F.array_max(A),
-        "pos": arrays.position(A, 2), "su": arrays.sum_(A), "av": arrays.avg(A), "ln": arrays.length(A).cast("long"),
+        "app": F.array_append(columns.a, F.lit(5)), "pre": F.array_prepend(columns.a, F.lit(5)), "cat": arrays.concat(columns.a, columns.b), "sl": arrays.slice_(columns.a, 2, 3), "el": arrays.get(columns.a, 2), "mn": F.array_min(columns.a), "mx": F.array_max(columns.a),
+        "pos": arrays.position(columns.a, 2), "su": arrays.sum_(columns.a), "av": arrays.avg(columns.a), "ln": arrays.length(columns.a).cast("long"),
     }
     return lists(t).where("a is not null").select("id", *[c.alias(k) for k, c in cols.items()])
 
 
 @query("select * from (values (1, [1, 2, null, 3], [1, null], true), (2, [5], [5], null), (3, [1, null], null, null), (4, [9, 8, 7], [9, 8, 9], false)) as v(id, un, di, ov)")
 def array_sets(t: Tables) -> DataFrame:
-    return lists(t).select("id", arrays.unique(A, B).alias("un"), arrays.difference(A, B).alias("di"), arrays.overlap(A, B).alias("ov"))
+    return lists(t).select("id", arrays.unique(columns.a, columns.b).alias("un"), arrays.difference(columns.a, columns.b).alias("di"), arrays.overlap(columns.a, columns.b).alias("ov"))
 
 
 @query("select * from (values (1, [1, 2, 2, null, null, 0], [1, 1], 2), (2, [5, null, null, null, null, 0], [], 1), (4, [9, 8, 9, null, null, 0], [9], 2)) as v(id, st, fl, up)")
 def array_more(t: Tables) -> DataFrame:
-    flat = F.when(F.col("id") == 1, arrays.flatten(F.array(F.slice(A, 1, 1), F.lit(None).cast("array<int>"), F.slice(A, 1, 1)))).when(F.col("id") == 2, F.slice(A, 1, 0)).otherwise(F.slice(A, 1, 1))
-    up = arrays.upper(F.array(F.slice(A, 1, 2), F.slice(A, 1, 1)), 2)
-    return lists(t).where("a is not null").select("id", arrays.set_(A, 6, 0).alias("st"), flat.alias("fl"), up.alias("up"))
+    flat = F.when(F.col("id") == 1, arrays.flatten(F.array(F.slice(columns.a, 1, 1), F.lit(None).cast("array<int>"), F.slice(columns.a, 1, 1)))).when(F.col("id") == 2, F.slice(columns.a, 1, 0)).otherwise(F.slice(columns.a, 1, 1))
+    up = arrays.upper(F.array(F.slice(columns.a, 1, 2), F.slice(columns.a, 1, 1)), 2)
+    return lists(t).where("a is not null").select("id", arrays.set_(columns.a, 6, 0).alias("st"), flat.alias("fl"), up.alias("up"))
 
 
 @query("select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))), 6) as norm, len(embedding) as n from embeddings")
