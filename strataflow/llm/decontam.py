@@ -111,7 +111,7 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 def clean(docs: DataFrame, items: DataFrame, least_items: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold windows of at least so many items; columns stay as they were."""
-    bad = hits(docs, items, doc_id, text).where(F.size("items") >= least_items).select(F.col("doc_id").alias("b_id"), F.col("rid").alias("b_rid"))
+    bad = hits(docs, items, doc_id, text).where(F.size("items") >= least_items).select(F.col("doc_id").alias("_bad_id"), F.col("rid").alias("_bad_rid"))
     bad, _ = cut(bad, "bad")
-    same = F.col(doc_id).eqNullSafe(F.col("b_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("b_rid"))
+    same = F.col(doc_id).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_bad_rid"))
     return docs.join(maybe_broadcast(bad), same, "left_anti")

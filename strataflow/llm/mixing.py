@@ -87,11 +87,13 @@ def mix(
     text: str = "text",
     keep: list[str] | None = None,
 ) -> DataFrame:
-    """The documents taken: the tree's levels, tokens, n_copies (how often each is taken), and the columns keep.
+    """The documents taken: the tree's levels (mix_..), mix_tokens, n_copies (how often each is taken), and the columns
+    keep, of which those under any of these names give way.
 
     share: of all tokens that the mix is to have; epochs: how often a document may be taken at most."""
     levels = [f"_{k}" for k in tree]
-    keep = [doc_id] if keep is None else keep
+    made = {f"mix{n}" for n in levels} | {"mix_tokens", "n_copies"}
+    keep = [doc_id] if keep is None else [c for c in keep if c not in made]
     rows = docs.select(*[F.expr(e).alias(n) for n, e in zip(levels, tree.values())], tokens(F.col(text)).alias("_tokens"), F.col(doc_id).alias("_id"), *[F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)])
     slim = docs.select(*[F.expr(e).alias(n) for n, e in zip(levels, tree.values())], tokens(F.col(text)).alias("tokens"), F.col(doc_id).alias("_id")).where("tokens > 0")
     slim, _ = cut(slim, "tokens")  # a few narrow columns, read four times
