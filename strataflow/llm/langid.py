@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 #: Labelled rows learned from, words kept of them for each language, characters of the longest n-gram.
 SAMPLE, WORDS, LONGEST = 6000, 40_000, 5
 WORD = re.compile(r"[^\W\d_]+")
-KNOWN_WORDS = 200_000
+CACHE = 200_000
 
 
 def words(text: str) -> list[str]:
@@ -50,63 +50,84 @@ def learn(rows: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
     counts = ids.select("lang", "text").repartition(16).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))), 1, WORDS).alias("top"), F.sum("n").alias("total"))
-    return fit({r.lang: ({x.word: -x.m for x in r.top}, r.total) for r in top.collect()})
+    top = counts.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))), 1, WORDS).alias("top"))
+    rows = top.select("lang", F.col("top.word").alias("words"), F.col("top.m").alias("counts")).orderBy("lang").collect()
+    return fit({r.lang: (r.words, [-m for m in r.counts]) for r in rows})
 
 
-def fit(by_lang: dict[str, tuple[dict[str, int], int]]) -> dict:
-    """by_lang: word counts and the number of words. tables[0] has words, tables[n] n-grams, of values log frequency by language."""
+def fit(by_lang: dict[str, tuple[list[str], list[int]]]) -> dict:
+    """by_lang: words and their counts. The model: langs; rows[0], the matrix row of each word, and rows[n], of each n-gram;
+    matrix, log frequencies by language."""
     langs = sorted(by_lang)
-    tables: list[dict[str, np.ndarray]] = []
+    rows, parts, at = [], [], 0
     for n in range(LONGEST + 1):
-        counts = []
-        for k in langs:
-            c: Counter = Counter()
-            for w, m in by_lang[k][0].items():
-                for g in [w] if not n else {f"<{w}>"[i : i + n] for i in range(len(w) + 3 - n)}:
-                    c[g] += m
-            counts.append(c)
-        totals = np.array([max(sum(c.values()), 1) for c in counts], dtype=float)
-        known = Counter()
-        for c in counts:
-            known.update(c)
-        if n:  # rare n-grams say little
-            known = Counter({g: m for g, m in known.items() if m >= 3})
-        tables.append({g: np.log((np.array([c.get(g, 0) for c in counts]) + 0.1) / totals) for g in known})
-    return {"langs": langs, "tables": tables}
+        numbers: dict[str, int] = {}
+        counts: list[list[int]] = []
+        for k, lang in enumerate(langs):
+            for w, m in zip(*by_lang[lang]):
+                marked = f"<{w}>"
+                for g in [w] if not n else {marked[i : i + n] for i in range(len(marked) + 1 - n)}:
+                    if (number := numbers.get(g)) is None:
+                        number = numbers[g] = len(counts)
+                        counts.append([0] * len(langs))
+                    counts[number][k] += m
+        table = np.array(counts, dtype=np.float64).reshape(-1, len(langs))
+        keep = table.sum(1) >= (3 if n else 1)  # rare n-grams say little
+        place = np.cumsum(keep) - 1 + at
+        rows.append({g: int(place[number]) for g, number in numbers.items() if keep[number]})
+        parts.append(np.log((table[keep] + 0.1) / np.maximum(table.sum(0), 1)).astype(np.float32))
+        at += int(keep.sum())
+    return {"langs": langs, "rows": rows, "matrix": np.concatenate(parts)}
 
 
 def word_score(model: dict, word: str) -> np.ndarray:
     """Log probability of a word by language; zero where nothing of it is known."""
-    tables = model["tables"]
-    if (found := tables[0].get(word)) is not None:
-        return found
+    rows, matrix = model["rows"], model["matrix"]
+    if (found := rows[0].get(word)) is not None:
+        return matrix[found]
     marked = f"<{word}>"
     for n in range(min(LONGEST, len(marked)), 0, -1):
-        got = [tables[n][g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in tables[n]]
+        known = rows[n]
+        got = [known[g] for i in range(len(marked) - n + 1) if (g := marked[i : i + n]) in known]
         if got:
-            return np.mean(got, axis=0)
-    return np.zeros(len(model["langs"]))
+            return matrix[got].mean(axis=0)
+    return np.zeros(len(model["langs"]), dtype=np.float32)
 
 
 class Scorer:
+    """Scores texts; unseen words are remembered up to CACHE of them, and scored anew beyond."""
+
     def __init__(self, model: dict):
-        self.model, self.seen = model, {}
+        self.model, self.more, self.unseen = model, np.zeros((CACHE, len(model["langs"])), dtype=np.float32), {}
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        if not self.model["langs"] or text is None or not (found := words(text)):
+        langs = self.model["langs"]
+        if not langs or text is None or not (found := words(text)):
             return "und", 0.0
-        total, n = np.zeros(len(self.model["langs"])), 0
+        known, unseen, total = self.model["rows"][0], self.unseen, np.zeros(len(langs))
+        rows, times, more_rows, more_times = [], [], [], []
         for w, m in Counter(found).items():
-            if (s := self.seen.get(w)) is None:
-                s = word_score(self.model, w)
-                if len(self.seen) < KNOWN_WORDS:  # a cache, no cap on what is scored
-                    self.seen[w] = s
-            total, n = total + m * s, n + m
-        mean = total / math.sqrt(n)  # between a sum, which is always sure, and a mean, which never is
+            if (k := known.get(w)) is not None:
+                rows.append(k)
+                times.append(m)
+                continue
+            if (k := unseen.get(w)) is None:
+                score = word_score(self.model, w)
+                if len(unseen) == CACHE:
+                    total += m * score
+                    continue
+                k = unseen[w] = len(unseen)
+                self.more[k] = score
+            more_rows.append(k)
+            more_times.append(m)
+        if rows:
+            total += np.array(times, dtype=np.float64) @ self.model["matrix"][rows]
+        if more_rows:
+            total += np.array(more_times, dtype=np.float64) @ self.more[more_rows]
+        mean = total / math.sqrt(len(found))  # between a sum, which is always sure, and a mean, which never is
         p = np.exp(mean - mean.max())
         best = int(np.argmax(p))
-        return self.model["langs"][best], float(p[best] / p.sum())
+        return langs[best], float(p[best] / p.sum())
 
 
 def identify(docs: DataFrame, model: dict, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
