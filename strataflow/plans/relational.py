@@ -336,3 +336,48 @@ def change_upsert(t: Tables) -> DataFrame:
     base = t.nation.select("n_nationkey", "n_name")
     rows = t.nation.where("n_regionkey = 1").select("n_nationkey", "n_name").union(t.nation.where("n_regionkey = 2").select(F.col("n_nationkey") + 100, "n_name"))
     return dml.insert_on_conflict(base, rows, ["n_nationkey"], {"n_name": F.concat("n_name", F.lit("+"), "excluded.n_name")})
+
+
+# numeric and interval aggregates, text functions of the current time
+
+
+@query("""select l_returnflag, cast(sum(cast(l_quantity as decimal(12, 2))) as double) as s, round(avg(cast(l_extendedprice as decimal(12, 2))), 4) as a, cast(max(cast(l_tax as decimal(6, 4))) as double) as m from lineitem group by l_returnflag""")
+def agg_numeric(t: Tables) -> DataFrame:
+    q, p, x = F.col("l_quantity").cast("decimal(12,2)"), F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_tax").cast("decimal(6,4)")
+    return t.lineitem.groupBy("l_returnflag").agg(F.sum(q).cast("double").alias("s"), F.round(F.avg(p).cast("double"), 4).alias("a"), F.max(x).cast("double").alias("m"))
+
+
+@query("""select o_orderstatus, cast(sum((epoch_us(o_orderdate) - epoch_us(timestamp '1995-01-01')) // 1000000) as bigint) as seconds,
+min(epoch_us(o_orderdate) - epoch_us(timestamp '1995-01-01')) // 1000000 as least from orders group by o_orderstatus""")
+def agg_intervals(t: Tables) -> DataFrame:
+    since = F.col("o_orderdate") - F.lit("1995-01-01").cast("timestamp_ntz")
+    total = t.orders.groupBy("o_orderstatus").agg(F.sum(since).alias("s"), F.min(since).alias("m"))
+    seconds = "cast(extract(day from {0}) as bigint) * 86400 + extract(hour from {0}) * 3600 + extract(minute from {0}) * 60 + cast(extract(second from {0}) as bigint)"
+    return total.select("o_orderstatus", F.expr(seconds.format("s")).alias("seconds"), F.expr(seconds.format("m")).alias("least"))
+
+
+@query("select case when c_custkey % 2 = 0 then 'even' else 'odd' end as k, count(*) as n from customer group by 1")
+def udf_scalar(t: Tables) -> DataFrame:
+    from ..functions.sql import create_function
+
+    create_function(t.spark, "strataflow_parity", "if(x % 2 = 0, 'even', 'odd')", "string", "x bigint")
+    return t.customer.groupBy(F.expr("strataflow_parity(c_custkey)").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query()
+def system_now(t: Tables) -> DataFrame:
+    return t.spark.range(1).select(F.current_timestamp().alias("ts"), F.current_date().alias("day"), F.expr("uuid()").alias("id"), F.rand().alias("r"))
+
+
+@query("select c_custkey, n_name from (select c_custkey, case when c_nationkey > 20 then null else c_nationkey end as k from customer) c left join nation on k = n_nationkey")
+def join_null_keys(t: Tables) -> DataFrame:
+    c = t.customer.select("c_custkey", F.when(F.col("c_nationkey") <= 20, F.col("c_nationkey")).alias("k"))
+    return c.join(t.nation, F.col("k") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+
+
+@query("select p_partkey, round(p_retailprice * 1.1, 4) as x from part where p_partkey in (select l_partkey from lineitem where l_quantity >= 50) and p_size > (select avg(p_size) from part)")
+def subquery_multi_phase(t: Tables) -> DataFrame:
+    mean = t.part.agg(F.avg("p_size").alias("_mean"))
+    wanted = t.lineitem.where("l_quantity >= 50").select(F.col("l_partkey").alias("p_partkey"))
+    rows = R.semi(t.part, wanted, "p_partkey").crossJoin(F.broadcast(mean)).where("p_size > _mean")  # one row
+    return rows.select("p_partkey", F.round(F.col("p_retailprice") * 1.1, 4).alias("x"))

@@ -106,6 +106,21 @@ def test_foreign_registry():
     assert not f.tables
 
 
+def test_foreign_table_over_jdbc(spark):
+    jvm = spark.sparkContext._jvm
+    url = "jdbc:derby:memory:foreign;create=true"
+    con = jvm.java.sql.DriverManager.getConnection(url)
+    st = con.createStatement()
+    st.execute("create table facts (id int, v double)")
+    st.execute("insert into facts values (1, 1.5), (2, 2.5), (3, 3.5)")
+    f = Foreign()
+    f.create_server("s", url)
+    f.create_table("t", "s", "FACTS")
+    df = f.read(spark, "t", column="ID", low=1, high=3, parts=2).where("ID > 1").select("V")
+    assert sorted(r.V for r in df.collect()) == [2.5, 3.5]
+    assert "PushedFilters" in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_gap_fill(spark):
     df = spark.sql("select 'a' as k, timestamp_ntz'2024-01-01 00:10:00' as ts union all select 'a', timestamp_ntz'2024-01-01 03:00:00'")
     out = TS.fill_gaps(TS.binned(df, "ts", "1 hour", ["k"], F.count("*").alias("n")), ["k"], "1 hours", {"n": 0})
