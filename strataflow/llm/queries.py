@@ -97,6 +97,21 @@ u as (select *, sum(t) over (partition by d, l, s order by h, doc_id range betwe
 select doc_id, d as mix_domain, l as mix_language, s as mix_source, t as mix_tokens, whole + cast(upto <= rest as bigint) as n_copies from u where whole + cast(upto <= rest as bigint) > 0"""
 
 
+def secrets_sql() -> str:
+    """The findings of op4: places of matches from the lengths of the texts between them."""
+    rules = [r.pattern.replace("++", "+").replace("*+", "*").replace("}+", "}").replace("'", "''") for r in secrets.RULES]
+    one = " union all ".join(f"select doc_id, {i} as k, '{r.kind}' as kind, regexp_extract_all(t, '{p}') as m, regexp_split_to_array(t, '{p}') as g from d" for i, (r, p) in enumerate(zip(secrets.RULES, rules)))
+    counts = ", ".join(f"count(*) filter (where k = {i}) as n_{r.kind}" for i, r in enumerate(secrets.RULES[: secrets.BASE]))
+    return f"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+r as ({one}),
+e as (select doc_id, k, kind, m, g, unnest(range(1, len(m) + 1)) as i from r),
+p as (select doc_id, k, kind, m[i] as w, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) as a from e),
+f as (select *, kind || ':' || a || ':' || (a + length(w)) as s from p where k <> 0 or length(regexp_extract(w, '{rules[0]}', 2)) >= 12),
+x as (select doc_id, {counts}, string_agg(s, ',' order by a, k) filter (where k < {secrets.BASE}) as base, string_agg(s, ',' order by a, k) as spans from f group by doc_id)
+select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secrets.RULES[: secrets.BASE])}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join x on x.doc_id = d.doc_id"""
+
+
 EMBEDDING_SQL = """
 with recursive v as (select vec_id, case when embedding is not null and len(embedding) > 0 and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(embedding, lambda x: x <> 0))
   then cast(embedding as double[]) end as e from embeddings),
@@ -133,6 +148,7 @@ i as (select doc_id, count(distinct item) as n, string_agg(distinct item, ',' or
 select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(p.n, 0) as n_hit, coalesce(i.n, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(i.n, 0) >= 2 as contaminated
 from d left join p on p.doc_id = d.doc_id left join i on i.doc_id = d.doc_id""",
     "op2_embedding": EMBEDDING_SQL,
+    "op4_secrets": secrets_sql(),
     "op6_warc": WARC_SQL,
     "op8_mixing": mixing_sql(),
 }

@@ -19,7 +19,7 @@ RULES = [
     Rule("hex", r"[0-9a-f]{16,}+"),
     Rule("private_key", r"-----BEGIN(?:\x20[A-Z0-9]{1,20}){0,4}\x20PRIVATE\x20KEY-----", "-----BEGIN"),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]{36,}+", "gh[pousr]_"),
-    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "eyJ"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", "eyJ"),
 ]
 BASE = 3
 KINDS = [r.kind for r in RULES]
