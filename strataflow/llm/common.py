@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few narrow columns may be broadcast; callers count first.
 BROADCAST_ROWS = 500_000
+WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,6 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def sweep(spark: SparkSession) -> int:
+    """Deletes the tables that cut() wrote in this process, for use once the results that read them are stored; returns
+    their number. An external retention rule on the shared folder does the same for processes that were lost."""
+    n = len(WRITTEN)
+    while WRITTEN:
+        delete_path(spark, WRITTEN.pop())
+    return n
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -33,6 +43,7 @@ def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it again: the lineage ends there and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -66,6 +77,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         after, new_path = cut(after.where("u <> v").distinct(), "edges")
         now = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         delete_path(spark, path)
+        WRITTEN.remove(path)
         pairs, path = after, new_path
         if seen == (now.n, now.s):
             break

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import components, cut
 
-COSINE, MISS, FILL, BLOCK, SEED, SIGMAS = 0.95, 1e-4, 32, 2048, 11, 5.0
+COSINE, MISS, FILL, BLOCK, SEED, SIGMAS = 0.95, 1e-4, 256, 2048, 11, 5.0
 
 
 def tables(n: int, cosine: float = COSINE) -> tuple[int, int]:

@@ -121,6 +121,13 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_sweep(spark):
+    df, path = common.cut(spark.range(3), "swept")
+    assert df.count() == 3 and common.sweep(spark) >= 1 and path not in common.WRITTEN
+    with pytest.raises(Exception):  # noqa: B017
+        spark.read.parquet(path).count()
+
+
 def test_masks_cover():
     random.seed(1)
     masks = simhash.masks(list(range(64)))
