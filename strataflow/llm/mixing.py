@@ -7,8 +7,9 @@ the tree first, then each level is filled from the top (water-filling in closed
 by capacity over weight, with running sums).
 
 A leaf's budget is spent in epochs: whole ones, then a prefix of one more, in an order seeded by epoch. The
-prefix is found in two steps, so that no task sorts a leaf: tokens are summed by the first BITS hex digits of
-the order's hash, and only documents in the one bucket that the prefix ends in are put in order.
+prefix is found step by step, so that no task sorts a leaf: tokens are summed by the first digits (DIGITS) of the
+order's hash, then by more of them inside the one bucket that the prefix ends in, and only the documents of the
+last such bucket, one in 16 million of a leaf, are put in order.
 
 Null level values are nodes of their own; null texts and texts without words have no tokens and are never taken;
 repeated rows are taken or left together if all is equal, and count each; an empty table gives no rows."""
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-BITS = 3
+DIGITS = (3, 6)
 TREE = {
     "domain": "concat('d', coalesce(try_cast(regexp_extract(source, '([0-9]+)$', 1) as int) % 4, 0))",
     "language": "coalesce(lang, '')",
@@ -102,12 +103,15 @@ def mix(
     plan = budgets(leaves, levels, named, F.floor(F.sum("tokens") * F.lit(share)))
     plan, _ = cut(plan.select(*levels, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("rest")), "budgets")
 
-    hashed = slim.join(plan, levels).select(*levels, "tokens", "_id", "whole", "rest", order(F.col("_id"), F.col("whole"), seed).alias("h")).withColumn("b", F.substring("h", 1, BITS))
-    sums = hashed.groupBy(*levels, "b").agg(F.sum("tokens").alias("t"), F.any_value("rest").alias("rest"))
-    run = F.sum("t").over(W.partitionBy(*levels).orderBy("b"))
-    edge = sums.withColumn("upto", run).where(F.expr("upto > rest and upto - t <= rest")).select(*levels, "b", (F.col("upto") - F.col("t")).alias("base"))
-    edge, _ = cut(edge, "edges")
-    inner = hashed.join(edge, [*levels, "b"])
+    inner = slim.join(plan, levels).select(*levels, "tokens", "_id", "whole", "rest", order(F.col("_id"), F.col("whole"), seed).alias("h"), F.lit(0).cast("long").alias("base"))
+    for digits in DIGITS:
+        bucket = F.substring("h", 1, digits).alias("b")
+        sums = inner.groupBy(*levels, bucket).agg(F.sum("tokens").alias("t"), F.any_value("rest").alias("rest"), F.any_value("base").alias("base"))
+        run = F.col("base") + F.sum("t").over(W.partitionBy(*levels).orderBy("b"))
+        edge = sums.withColumn("upto", run).where(F.expr("upto > rest and upto - t <= rest")).select(*levels, "b", (F.col("upto") - F.col("t")).alias("base"))
+        edge, _ = cut(edge, "edges")
+        inner = inner.drop("base").withColumn("b", bucket).join(edge, [*levels, "b"]).drop("b")
+        inner, _ = cut(inner, "inner")  # a 4096th of the rows at most, for evenly spread hashes
     last = F.sum("tokens").over(W.partitionBy(*levels).orderBy("h", "_id").rangeBetween(W.unboundedPreceding, 0))
     ends = inner.withColumn("upto", last + F.col("base")).where("upto <= rest").groupBy(*levels).agg(F.max("h").alias("end"))
     ends = edge.join(ends, levels, "left").select(*levels, F.coalesce("end", F.concat("b", F.lit(" "))).alias("end"))
