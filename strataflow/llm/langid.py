@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: Labelled rows learned from, words kept of them for each language, characters of the longest n-gram.
 SAMPLE, WORDS, LONGEST = 6000, 40_000, 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -71,7 +73,7 @@ def fit(by_lang: dict[str, tuple[list[str], list[int]]]) -> dict:
                         number = numbers[g] = len(counts)
                         counts.append([0] * len(langs))
                     counts[number][k] += m
-        table = np.array(counts, dtype=np.float64).reshape(-1, len(langs))
+        table = np.array(counts, dtype=np.float64).reshape(len(counts), len(langs))
         keep = table.sum(1) >= (3 if n else 1)  # rare n-grams say little
         place = np.cumsum(keep) - 1 + at
         rows.append({g: int(place[number]) for g, number in numbers.items() if keep[number]})
@@ -157,7 +159,5 @@ def accepted(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text:
     model = learn(docs.where(~held_out(F.col(doc_id))), lang, doc_id, text)
     if not model["langs"]:
         return docs
-    a, b = "_pred", "_score"
-    while a in docs.columns or b in docs.columns:
-        a, b = a + "_", b + "_"
+    a, b = fresh(docs, "_pred"), fresh(docs, "_score")
     return identify(docs, model, text, a, b).where((F.col(a) != "und") & (F.col(b) >= least)).select(*docs.columns)
