@@ -48,6 +48,14 @@ def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (names are told apart without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it was counted to have at most limit rows; else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

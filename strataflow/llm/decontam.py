@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, maybe_broadcast
+from .common import cut, fresh, maybe_broadcast
 
 WINDOW, GRAM = 8, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,7 +111,8 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
 
 def clean(docs: DataFrame, items: DataFrame, least_items: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold windows of at least so many items; columns stay as they were."""
-    bad = hits(docs, items, doc_id, text).where(F.size("items") >= least_items).select(F.col("doc_id").alias("_bad_id"), F.col("rid").alias("_bad_rid"))
+    a, b = fresh(docs, "bad_id"), fresh(docs, "bad_rid")
+    bad = hits(docs, items, doc_id, text).where(F.size("items") >= least_items).select(F.col("doc_id").alias(a), F.col("rid").alias(b))
     bad, _ = cut(bad, "bad")
-    same = F.col(doc_id).eqNullSafe(F.col("_bad_id")) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col("_bad_rid"))
+    same = F.col(doc_id).eqNullSafe(F.col(a)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(b))
     return docs.join(maybe_broadcast(bad), same, "left_anti")

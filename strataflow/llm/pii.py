@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .spans import Rule, found
 
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
@@ -85,9 +86,7 @@ def detect(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
             score = F.when(x["kind"] == i, least + F.when(before.rlike(words), BONUS).otherwise(0.0)).otherwise(score)
         return F.struct(*[x[c].alias(c) for c in ("start", "kind", "stop", "match")], F.least(score, F.lit(1.0)).alias("score"))
 
-    raw = f"{out}_raw"
-    while raw in docs.columns:
-        raw += "_"
+    raw = fresh(docs, f"{out}_raw")
     with_raw = docs.withColumn(raw, spans)
     kept = F.filter(F.transform(F.col(raw), scored), lambda x: (x["kind"] < BASE) | (x["score"] >= LEAST))
     return with_raw.withColumn(out, F.when(F.size(raw) > 0, F.array_sort(kept)).otherwise(F.array().cast(f"array<struct<start:int,kind:int,stop:int,match:string,score:double>>"))).drop(raw)
@@ -96,9 +95,7 @@ def detect(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with each span of personal data in text replaced by <KIND>; overlapping spans go together under the
     first one's name. Null texts stay null; columns and their order stay as they were."""
-    name = "pii"
-    while name in docs.columns:
-        name += "_"
+    name = fresh(docs, "pii")
     marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     whole = F.col(text)
 

@@ -376,3 +376,46 @@ def test_pipeline(spark, folder):
     assert all(base_pii(t) == "" or "<" in t for t in last.values())
     out = corpus_pipeline.run(spark, folder).collect()
     assert {r.doc_id for r in out} <= last.keys() and out
+
+
+CLASHING = ["rid", "hit", "k", "kept", "n_words", "n_hit", "items", "item", "pii", "pii_raw", "pii_", "secrets", "blob", "fp", "first", "component", "component_id", "table", "key", "lang_pred", "score", "_pred", "_score", "_picked", "_bad_id", "_bad_rid", "tokens", "_id", "_domain", "mix_tokens", "n_copies", "spans", "both", "l_id", "y", "batch"]
+
+
+def test_clashing_columns_nulls_and_repeats(spark, folder):
+    """Every operator on documents and every stage of the pipeline, with extra columns of names that operators use inside."""
+    import corpus_pipeline
+
+    texts = ["The first text of all, mail a@b.cd now", "The first text of all, mail a@b.cd now", None, "", "x" * 3000, "  ", "another of them and the others, with words to tell it by"]
+    rows = [(i, t, None if i == 1 else "en", None if i == 2 else "src1", None) for i, t in enumerate(texts)] + [(None, texts[0], "de", None, None), (6, texts[6], "en", "src1", None)]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({c: F.lit("clash") for c in CLASHING})
+    bench = spark.createDataFrame([(None, "a b"), (1, None), (2, "the first text of all mail a b cd now")], "item_id long, text string").withColumn("hashes", F.lit(1)).withColumn("rid", F.lit(2))
+    assert pii.detect(docs, out="found").count() == len(rows) and pii.redact(docs).columns == docs.columns
+    assert secrets.scan(docs)[0].count() == len(rows)
+    assert simhash.groups(docs).count() == len(rows) and simhash.dedupe(docs).columns == docs.columns
+    assert decontam.hits(docs, bench).count() == len(rows) - 1 and decontam.clean(docs, bench, 1).columns == docs.columns  # equal rows count once
+    assert substrings.dedupe(docs).count() == len(rows)
+    model = langid.learn(docs)
+    assert langid.identify(docs, model).count() == len(rows) and langid.accepted(docs).columns == docs.columns
+    assert quality.score(docs, quality.learn(docs, spark.createDataFrame([(0, 1), (2, 0), (None, 1), (6, None)], "doc_id long, quality int"))).count() == len(rows)
+    assert {r.doc_id for r in mixing.mix(docs).collect()} <= {0, 1, 4, 6, None}
+    kept = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept, _ = common.cut(stage(spark, kept, folder), "stage")
+        assert kept.columns == docs.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, kept, folder).count() <= kept.count()
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.where("false"), folder).collect() == []
+
+
+def test_mixing_finds_the_same_prefix_by_buckets(spark):
+    """The prefix against a plain walk through each leaf in the seeded order."""
+    df = docs_of(spark, ["w " * (1 + i % 9) for i in range(700)]).withColumn("source", F.lit("src0"))
+    got = {r.doc_id: r.n_copies for r in mixing.mix(df, share=0.3).collect()}
+    size = {i: 1 + i % 9 for i in range(700)}
+    left = int(sum(size.values()) * 0.3)
+    want = {}
+    for h, i in sorted((hashlib.md5(f"{mixing.SEED}:0:{i}".encode()).hexdigest(), i) for i in size):
+        if (left := left - size[i]) < 0:
+            break
+        want[i] = 1
+    assert got == want
