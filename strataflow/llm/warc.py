@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, shared_dir
 
-SEGMENT, CHUNK = 16 << 20, 1 << 16
+SEGMENT, CHUNK, MOST_TASKS = 16 << 20, 1 << 16, 100_000
 MANIFEST = "path string, records long, bytes long"
 
 
@@ -159,4 +159,7 @@ def read(manifest: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names)
 
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
-    return manifest.select("path", "records").repartition(F.col("path")).mapInArrow(run, schema)
+    # a number of tasks by the bytes behind the manifest: its own rows are so few that adaptive execution would merge them
+    known = manifest.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = max(1, min(known.n, max(8, -(-(known.bytes or 0) // SEGMENT)), MOST_TASKS))
+    return manifest.select("path", "records").repartition(tasks).mapInArrow(run, schema)
