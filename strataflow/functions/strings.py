@@ -184,6 +184,7 @@ def format_(pattern: str, *args: Column) -> Column:
     return F.format_string(pattern, *args)
 
 
+#: PostgreSQL-style template parts and Java's.
 TO_CHAR = {"YYYY": "yyyy", "YY": "yy", "MM": "MM", "DDD": "DDD", "DD": "dd", "HH24": "HH", "HH12": "hh", "MI": "mm", "SS": "ss", "MS": "SSS", "AM": "a", "PM": "a", "Month": "MMMM", "Mon": "MMM", "Day": "EEEE", "Dy": "EEE", "Q": "Q"}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+#: Type numbers that PostgreSQL clients know.
 TYPES = {16: "boolean", 17: "bytea", 18: '"char"', 20: "bigint", 21: "smallint", 23: "integer", 25: "text", 114: "json", 700: "real", 701: "double precision", 1043: "character varying", 1082: "date", 1114: "timestamp without time zone", 1184: "timestamp with time zone", 1186: "interval", 1700: "numeric", 2950: "uuid"}
 
 
@@ -59,3 +60,22 @@ def has_privilege() -> Column:
 
 def random_uuid() -> Column:
     return F.expr("uuid()")
+
+
+def backend_pid(spark: SparkSession) -> Column:
+    """The process of the driver, as the one that serves the session."""
+    return F.lit(int(spark.sparkContext._jvm.java.lang.ProcessHandle.current().pid()))
+
+
+def postmaster_start_time(spark: SparkSession) -> Column:
+    return F.timestamp_millis(F.lit(spark.sparkContext.startTime))
+
+
+def user_by_id(oid: Column) -> Column:
+    """There is one user; any id names it."""
+    return F.when(oid.isNotNull(), F.current_user())
+
+
+def function_result(spark: SparkSession, name: str) -> Column:
+    """The usage line of a function, null if there is none of that name."""
+    return F.lit(next((r[0].removeprefix("Usage: ") for r in spark.sql(f"describe function {name}").collect() if r[0].startswith("Usage: ")), None)).cast("string")

@@ -189,6 +189,7 @@ def fingerprint(sep: str = " ") -> Step:
     return lambda a: F.array(F.array_join(F.array_sort(F.array_distinct(a)), sep))
 
 
+#: Endings, each with what takes its place.
 SUFFIXES = {
     "english": ["ational>ate", "fulness>ful", "iveness>ive", "ization>ize", "ingly>", "edly>", "sses>ss", "ies>y", "ing>", "ed>", "ly>", "ss>ss", "s>"],
     "german": ["erinnen>", "innen>", "heiten>heit", "keiten>keit", "ungen>ung", "ern>", "en>", "er>", "es>", "em>", "e>", "n>", "s>"],
@@ -225,6 +226,7 @@ class Chain:
         return out
 
 
+#: Common words by language.
 STOPS = {
     "english": ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"],
     "german": ["der", "die", "das", "und", "ein", "eine", "einen", "in", "im", "ist", "nicht", "mit", "von", "zu", "den", "dem", "des", "auf", "für", "als", "auch", "es", "an", "er", "sie"],

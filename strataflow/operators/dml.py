@@ -29,6 +29,16 @@ def delete(target: DataFrame, where: Column) -> DataFrame:
     return target.where(~F.coalesce(where, F.lit(False)))
 
 
+def update_returning(target: DataFrame, where: Column, assign: dict[str, Column], *out: str | Column) -> DataFrame:
+    """RETURNING of an UPDATE: expressions over the changed rows as they are afterwards (all columns if none are given)."""
+    return update(target.where(where), F.lit(True), assign).select(*(out or target.columns))
+
+
+def insert_returning(target: DataFrame, rows: DataFrame, key: list[str], *out: str | Column) -> DataFrame:
+    """RETURNING of an INSERT .. ON CONFLICT DO NOTHING: expressions over the rows that went in."""
+    return rows.dropDuplicates(key).join(target.select(*key), key, "left_anti").select(*target.columns).select(*(out or target.columns))
+
+
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Write df over the table at path, although df reads it: first beside it, then by renames."""
     spark = df.sparkSession

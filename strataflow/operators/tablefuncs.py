@@ -60,6 +60,7 @@ def keywords(spark: SparkSession) -> DataFrame:
     return spark.sql("select keyword as word, reserved from sql_keywords()")
 
 
+#: Fixed values.
 SUMMITS = [
     ("Mont Blanc", 4808, "FR/IT", 6.8652, 45.8326), ("Monte Rosa", 4634, "CH/IT", 7.8668, 45.9369), ("Dom", 4545, "CH", 7.8589, 46.0940), ("Weisshorn", 4506, "CH", 7.7161, 46.1013), ("Matterhorn", 4478, "CH/IT", 7.6585, 45.9766),
 ]
