@@ -344,7 +344,7 @@ def change_upsert(t: Tables) -> DataFrame:
 @query("""select l_returnflag, cast(sum(cast(l_quantity as decimal(12, 2))) as double) as s, round(avg(cast(l_extendedprice as decimal(12, 2))), 4) as a, cast(max(cast(l_tax as decimal(6, 4))) as double) as m from lineitem group by l_returnflag""")
 def agg_numeric(t: Tables) -> DataFrame:
     q, p, x = F.col("l_quantity").cast("decimal(12,2)"), F.col("l_extendedprice").cast("decimal(12,2)"), F.col("l_tax").cast("decimal(6,4)")
-    return t.lineitem.groupBy("l_returnflag").agg(F.sum(q).cast("double").alias("s"), F.round(F.avg(p).cast("double"), 4).alias("a"), F.max(x).cast("double").alias("m"))
+    return t.lineitem.groupBy("l_returnflag").agg(F.sum(q).cast("double").alias("s"), F.round(A.avg_numeric(p), 4).cast("double").alias("a"), F.max(x).cast("double").alias("m"))
 
 
 @query("""select o_orderstatus, cast(sum((epoch_us(o_orderdate) - epoch_us(timestamp '1995-01-01')) // 1000000) as bigint) as seconds,
