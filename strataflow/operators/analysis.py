@@ -46,7 +46,7 @@ def pattern_replace(pattern: str, to: str) -> Step:
 
 
 def split_on(pattern: str) -> Step:
-    return lambda t: F.filter(F.split(t, pattern), lambda x: x != "")
+    return lambda t: F.array_remove(F.split(t, pattern), "")
 
 
 standard = lambda: split_on(r"[^\p{L}\p{N}_]+")

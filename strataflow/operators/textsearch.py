@@ -37,7 +37,9 @@ class Analyzer:
             return F.transform(names, lambda x, i: F.concat(F.lit("/"), F.array_join(F.slice(names, 1, i + 1), "/")))
         else:
             parts = F.split(F.lower(t), r"[^\p{L}\p{N}_]+")
-        parts = F.filter(parts, lambda x: (x != "") & ~x.isin(self.stops) if self.stops else x != "")
+        parts = F.array_remove(parts, "")
+        if self.stops:
+            parts = F.filter(parts, lambda x: ~x.isin(self.stops))
         if self.kind == "edge_ngram":
             parts = F.flatten(F.transform(parts, lambda x: F.transform(F.sequence(F.lit(self.least), F.lit(self.most)), lambda n: F.substr(x, F.lit(1), n))))
         if self.kind == "ngram":
@@ -79,21 +81,19 @@ def match(text: Column, query: str, operator: str = "or", kind: str = "best_fiel
 def search(df: DataFrame, text: str, query: str, analyzer: Analyzer = ANALYZERS["standard"], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Matching rows with _score (BM25 over all rows of df). Corpus figures are one aggregated row, broadcast."""
     words = list(dict.fromkeys(terms(query)))
-    rows = df.withColumn("_t", analyzer.tokens(F.col(text)))
-    counts = [F.size(F.array_compact(F.transform("_t", _equals(w)))) for w in words]
-    rows = rows.select(*df.columns, F.size("_t").alias("_len"), *[c.alias(f"_f{i}") for i, c in enumerate(counts)])
+    # a function of a one-element array: the text is split once for all its counts
+    counted = F.transform(F.array(analyzer.tokens(F.col(text))), lambda t: F.struct(F.size(t).alias("len"), *[(F.size(t) - F.size(F.array_remove(t, w))).alias(f"f{i}") for i, w in enumerate(words)]))
+    rows = df.select(*df.columns, F.explode(counted).alias("_c"))
+    rows = rows.select(*df.columns, F.col("_c.len").alias("_len"), *[F.col(f"_c.f{i}").alias(f"_f{i}") for i in range(len(words))])
     figures = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(words))])
-    scored = rows.where(" or ".join(f"_f{i} > 0" for i in range(len(words))) or "false").crossJoin(F.broadcast(figures))  # one row
+    scored = rows.crossJoin(F.broadcast(figures))  # one row
     score = F.lit(0.0)
     for i in range(len(words)):
         f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
         idf = F.ln(1 + (F.col("_n") - d + 0.5) / (d + 0.5))
         score = score + idf * f / (f + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    return scored.select(*df.columns, score.alias("_score"))
-
-
-def _equals(word: str):
-    return lambda x: F.when(x == word, 1)
+    # every term that occurs adds to the score; a filter on the counts would be pushed down and split each text again
+    return scored.select(*df.columns, score.alias("_score")).where("_score > 0")
 
 
 def _near(word: str, edits: int):
