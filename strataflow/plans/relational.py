@@ -290,6 +290,11 @@ def table_generate_subscripts(t: Tables) -> DataFrame:
     return R.project_set(t.embeddings.where("vec_id < 3"), ["vec_id"], i=TF.generate_subscripts(F.col("embedding"), reverse=True))
 
 
+@query("select vec_id, cast(unnest(generate_series(len(embedding), 1, -1)) as int) as i from embeddings")
+def table_generate_subscripts_whole(t: Tables) -> DataFrame:
+    return R.project_set(t.embeddings, ["vec_id"], i=TF.generate_subscripts(F.col("embedding"), reverse=True))
+
+
 @query("select event_id, regexp_extract_all(props, '([a-z]+)\": ([0-9]+)', 1) as names, regexp_extract_all(props, '([a-z]+)\": ([0-9]+)', 2) as numbers from events")
 def table_regexp_matches(t: Tables) -> DataFrame:
     got = t.events.select("event_id", TF.regexp_matches(F.col("props"), '([a-z]+)": ([0-9]+)', every=True).alias("m"))
@@ -301,6 +306,11 @@ def table_expand_array(t: Tables) -> DataFrame:
     return TF.expand_array(t.embeddings.where("vec_id < 5"), ["vec_id"], F.col("embedding"))
 
 
+@query("select vec_id, unnest(embedding) as x, cast(generate_subscripts(embedding, 1) as int) as n from embeddings")
+def table_expand_array_whole(t: Tables) -> DataFrame:
+    return TF.expand_array(t.embeddings, ["vec_id"], F.col("embedding"))
+
+
 @query()
 def table_summits(t: Tables) -> DataFrame:
     return TF.summits(t.spark)
