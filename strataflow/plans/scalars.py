@@ -266,6 +266,13 @@ def geo_within(t: Tables) -> DataFrame:
     return t.supplier.where("s_suppkey % 10 not in (1, 3) and s_nationkey not in (1, 20)").select("s_suppkey", geo.within(point, box).alias("inside"))
 
 
+@query("select s_suppkey, s_suppkey % 10 between 1 and 3 and s_nationkey between 1 and 20 as inside from supplier")
+def geo_within_whole(t: Tables) -> DataFrame:
+    box = F.lit("POLYGON ((1 1, 3 1, 3 20, 1 20, 1 1))")
+    point = F.concat(F.lit("POINT ("), F.col("s_suppkey") % 10, F.lit(" "), F.col("s_nationkey"), F.lit(")"))
+    return t.supplier.select("s_suppkey", geo.within(point, box).alias("inside"))
+
+
 @query("select * from (values (1, true), (2, false), (3, true)) as v(id, hit)")
 def geo_intersects(t: Tables) -> DataFrame:
     rows = t.spark.sql("select * from (values (1, 'POLYGON ((2 2, 6 2, 6 6, 2 6, 2 2))'), (2, 'POLYGON ((8 8, 9 8, 9 9, 8 8))'), (3, 'POINT (1 1)')) as v(id, g)")

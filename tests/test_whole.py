@@ -1,7 +1,9 @@
 """Registered queries over whole tables: every row of the input is in the result."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from strataflow.functions import geo
 from strataflow.plans import forms, registry, relational, scalars  # noqa: F401
 
 
@@ -10,3 +12,24 @@ def test_every_vector_is_expanded(spark, folder, name):
     want = {r.vec_id: len(r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
     got = registry.QUERIES[name](spark, folder).groupBy("vec_id").count().collect()
     assert {r.vec_id: r["count"] for r in got} == want and len(want) > 5
+
+
+def test_within_takes_edges_in(spark):
+    box, holed = "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0))", "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 3 1, 3 3, 1 3, 1 1))"
+    cases = [(f"POINT ({x} {y})", box, 0 <= x <= 4 and 0 <= y <= 4) for x in range(-1, 6) for y in range(-1, 6)]
+    cases += [(f"POINT ({x} {y})", holed, not (1 < x < 3 and 1 < y < 3)) for x in range(5) for y in range(5)]
+    cases += [(f"POINT ({x} {y})", "POLYGON ((0 0, 3 9, 9 3, 0 0))", y <= 3 * x and x <= 3 * y and x + y <= 12) for x in range(10) for y in range(10)]
+    cases += [
+        ("POLYGON ((0 0, 2 0, 2 2, 0 2, 0 0))", box, True), (box, box, True), ("POLYGON ((2 2, 6 2, 6 4, 2 4, 2 2))", box, False),
+        ("POLYGON ((0.5 0.5, 3.5 0.5, 3.5 3.5, 0.5 3.5, 0.5 0.5))", holed, False), ("POLYGON ((0 0, 1 0, 1 4, 0 4, 0 0))", holed, True),
+        ("LINESTRING (0 0, 4 4)", box, True), ("LINESTRING (0 0, 4 4)", holed, False), ("LINESTRING (0 4, 4 4)", box, True),
+        ("LINESTRING (0 4, 4 4)", "POLYGON ((0 0, 4 0, 4 4, 2 1, 0 4, 0 0))", False),
+    ]
+    df = spark.createDataFrame(cases, "a string, b string, want boolean")
+    assert [r.asDict() for r in df.where(geo.within(F.col("a"), F.col("b")) != F.col("want")).collect()] == []
+
+
+def test_every_supplier_is_placed(spark, folder):
+    rows = spark.read.parquet(f"{folder}/supplier.parquet").collect()
+    got = {r.s_suppkey: r.inside for r in registry.QUERIES["geo_within_whole"](spark, folder).collect()}
+    assert got == {r.s_suppkey: 1 <= r.s_suppkey % 10 <= 3 and 1 <= r.s_nationkey <= 20 for r in rows}
