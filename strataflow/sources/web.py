@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import urllib.request
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +15,29 @@ from pyspark.sql.types import StringType, StructField, StructType
 CHUNK, LINES = 1 << 20, 10_000
 
 
+def unpacked(parts: Iterable[bytes]) -> Iterator[bytes]:
+    """What the gzip members of a stream hold, one after another; zeros may fill up behind them. A stream that ends
+    inside a member is an error."""
+    unpacker = None
+    for part in parts:
+        while part := part if unpacker else part.lstrip(b"\0"):
+            unpacker = unpacker or zlib.decompressobj(31)
+            yield unpacker.decompress(part)
+            part = unpacker.unused_data
+            if unpacker.eof:
+                unpacker = None
+    if unpacker:
+        raise EOFError("the last gzip member is cut short")
+
+
 def streamed(url: str, timeout: float) -> Iterator[bytes]:
     """The lines of what an address holds; gzip is told by its first bytes."""
     with urllib.request.urlopen(url, timeout=timeout) as f:
-        rest, unpacker, first = b"", None, True
-        while part := f.read(CHUNK):
-            if first and part[:2] == b"\x1f\x8b":
-                unpacker = zlib.decompressobj(31)
-            first = False
-            whole = rest + (unpacker.decompress(part) if unpacker else part)
-            *lines, rest = whole.split(b"\n")
+        first, rest = f.read(CHUNK), b""
+        parts = chain([first], iter(lambda: f.read(CHUNK), b""))
+        for part in unpacked(parts) if first[:2] == b"\x1f\x8b" else parts:
+            *lines, rest = (rest + part).split(b"\n")
             yield from lines
-        rest += unpacker.flush() if unpacker else b""
         if rest:
             yield rest
 

@@ -1,10 +1,15 @@
 """Registered queries over whole tables: every row of the input is in the result."""
 
+import gzip
+import http.server
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
 from strataflow.functions import geo
 from strataflow.plans import forms, registry, relational, scalars  # noqa: F401
+from strataflow.sources import web
 
 
 @pytest.mark.parametrize("name", ["table_expand_array_whole", "table_generate_subscripts_whole"])
@@ -33,3 +38,34 @@ def test_every_supplier_is_placed(spark, folder):
     rows = spark.read.parquet(f"{folder}/supplier.parquet").collect()
     got = {r.s_suppkey: r.inside for r in registry.QUERIES["geo_within_whole"](spark, folder).collect()}
     assert got == {r.s_suppkey: 1 <= r.s_suppkey % 10 <= 3 and 1 <= r.s_nationkey <= 20 for r in rows}
+
+
+def test_all_gzip_members_are_read(spark, monkeypatch):
+    parts = [b'{"id": 1}\n{"id"', b': 2}\n', b"", b'{"id": 3}']
+    packed = b"".join(map(gzip.compress, parts))
+    assert all(b"".join(web.unpacked(packed[i : i + n] for i in range(0, len(packed), n))) == b"".join(parts) for n in (1, 2, 7, 20, 1 << 20))
+    assert b"".join(web.unpacked([packed, b"\0" * 9])) == b"".join(parts)
+    bodies = {"/all.gz": packed, "/cut.gz": packed[:-9], "/garbled.gz": packed + b"more"}
+
+    class Pages(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(bodies[self.path])
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    try:
+        for chunk in (1 << 20, 3):
+            monkeypatch.setattr(web, "CHUNK", chunk)
+            assert list(web.streamed(f"{at}/all.gz", 9)) == [b'{"id": 1}', b'{"id": 2}', b'{"id": 3}']
+        assert sorted(r.id for r in web.copy_from(spark, [f"{at}/all.gz"], "id int").collect()) == [1, 2, 3]
+        for name in ("cut", "garbled"):
+            with pytest.raises(Exception, match="cut short|header check"):
+                web.copy_from(spark, [f"{at}/{name}.gz"], "id int").collect()
+    finally:
+        server.shutdown()
