@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import components, cut
+from .common import components, cut, fresh
 
 RADIUS, SHINGLE, SEED, BUCKET, ROUNDS = 3, 3, 42, 4096, 3
 
@@ -132,8 +132,12 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bucket:
 
 
 def dedupe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that another one of their group stands for: the smallest id of each group stays,
-    one row of it if rows repeat. Columns stay as they were; rows without id are kept."""
-    kept = groups(docs.where(F.col(doc_id).isNotNull()), doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    once = docs.where(F.col(doc_id).isNotNull()).join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
-    return once.unionByName(docs.where(F.col(doc_id).isNull()))
+    """docs without the documents that another one of their group stands for: the smallest id of each group stays
+    (of its texts in the group the one of the least hash, one row of it if rows repeat). Texts under one id are
+    documents of their own. Columns stay as they were; rows without id are kept."""
+    kind = f"struct<id:{docs.schema[doc_id].dataType.simpleString()},digest:bigint>"
+    known, digest = docs.where(F.col(doc_id).isNotNull()), fresh(docs, "digest")
+    named = known.select(F.struct(F.col(doc_id), F.xxhash64(text)).cast(kind).alias("name"), text)
+    kept = groups(named, "name", text).where("doc_id = component_id").select(F.col("doc_id.id").alias(doc_id), F.col("doc_id.digest").alias(digest)).distinct()
+    once = known.withColumn(digest, F.xxhash64(text)).join(kept, [doc_id, digest], "left_semi").dropDuplicates([doc_id, digest])
+    return once.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
