@@ -80,10 +80,11 @@ def detect(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
     def scored(x: Column) -> Column:
         start = F.greatest(x["start"] - NEAR, F.lit(0))
         before = F.lower(F.substr(whole, start + 1, x["start"] - start))
+        after = F.lower(F.substr(whole, x["stop"] + 1, F.lit(NEAR)))
         score = F.lit(0.0)
         for i, k in enumerate(KINDS):
             least, words = SCORES[k]
-            score = F.when(x["kind"] == i, least + F.when(before.rlike(words), BONUS).otherwise(0.0)).otherwise(score)
+            score = F.when(x["kind"] == i, least + F.when(before.rlike(words) | after.rlike(words), BONUS).otherwise(0.0)).otherwise(score)
         return F.struct(*[x[c].alias(c) for c in ("start", "kind", "stop", "match")], F.least(score, F.lit(1.0)).alias("score"))
 
     raw = fresh(docs, f"{out}_raw")

@@ -1,6 +1,6 @@
 """The whole job where ids repeat and where context follows."""
 
-from strataflow.llm import simhash
+from strataflow.llm import pii, simhash
 
 
 def test_texts_under_one_id_are_documents_of_their_own(spark):
@@ -13,3 +13,12 @@ def test_texts_under_one_id_are_documents_of_their_own(spark):
             out = simhash.dedupe(docs.repartition(n))
             assert out.columns == docs.columns
             assert sorted(((r.doc_id or "") and int(r.doc_id) or 0, r.text or "") for r in out.collect()) == sorted([(0, a), (3, a), (5, b), (5, c), (9, ""), (9, "x")])
+
+
+def test_context_may_follow(spark):
+    texts = ["123-45-6789 is my SSN", "SSN 123-45-6789", "é 123-45-6789", "123-45-6789" + " " * 37 + "ssn", "123-45-6789" + " " * 38 + "ssn", "mail a@b.cd now", "a@b.cd is my mail"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(pii.KINDS[x.kind], round(x.score, 2)) for x in r.pii] for r in pii.detect(df).collect()}
+    social, email = [("national_id", 0.55)], [("email", 1.0)]
+    assert got == {0: social, 1: social, 2: [], 3: social, 4: [], 5: email, 6: email}
+    assert pii.redact(df).where("doc_id = 0").first().text == "<NATIONAL_ID> is my SSN"
