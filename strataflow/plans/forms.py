@@ -224,6 +224,22 @@ def copy_csv_round_trip(t: Tables) -> DataFrame:
     return files.copy_from(t.spark, path, rows.schema, "csv")
 
 
+@query("select c_custkey, c_name, c_acctbal, case when c_nationkey > 2 then c_mktsegment end as seg from customer")
+def copy_json_round_trip_whole(t: Tables) -> DataFrame:
+    rows = t.customer.select("c_custkey", "c_name", "c_acctbal", F.when(F.col("c_nationkey") > 2, F.col("c_mktsegment")).alias("seg"))
+    path = scratch(t.spark, "copy")
+    files.copy_to(rows, path, compression="gzip")
+    return files.copy_from(t.spark, path, rows.schema, "json")
+
+
+@query("select p_partkey, p_name || ', \"' || p_brand || '\"' as label, p_retailprice from part")
+def copy_csv_round_trip_whole(t: Tables) -> DataFrame:
+    rows = t.part.select("p_partkey", F.concat("p_name", F.lit(', "'), "p_brand", F.lit('"')).alias("label"), "p_retailprice")
+    path = scratch(t.spark, "copy")
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    return files.copy_from(t.spark, path, rows.schema, "csv")
+
+
 @query("select n_nationkey, n_name from nation union all select n_nationkey + 100, n_name from nation where n_regionkey = 2")
 def change_insert_ignore(t: Tables) -> DataFrame:
     base = t.nation.select("n_nationkey", "n_name")

@@ -260,6 +260,11 @@ def union_types(t: Tables) -> DataFrame:
     return R.union(t.nation.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v")), t.supplier.where("s_suppkey < 10").select("s_suppkey", "s_name"), distinct=True)
 
 
+@query("select cast(n_nationkey as bigint) as k, n_name as v from nation union select s_suppkey, s_name from supplier")
+def union_types_whole(t: Tables) -> DataFrame:
+    return R.union(t.nation.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v")), t.supplier.select("s_suppkey", "s_name"), distinct=True)
+
+
 @query("select c_custkey, c_name from customer where c_nationkey = 5")
 def view(t: Tables) -> DataFrame:
     t.customer.createOrReplaceTempView("strataflow_base")

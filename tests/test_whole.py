@@ -69,3 +69,8 @@ def test_all_gzip_members_are_read(spark, monkeypatch):
                 web.copy_from(spark, [f"{at}/{name}.gz"], "id int").collect()
     finally:
         server.shutdown()
+
+
+@pytest.mark.parametrize(("name", "tables"), [("copy_json_round_trip_whole", ["customer"]), ("copy_csv_round_trip_whole", ["part"]), ("union_types_whole", ["nation", "supplier"])])
+def test_every_row_comes_back(spark, folder, name, tables):
+    assert len(registry.QUERIES[name](spark, folder).collect()) == sum(spark.read.parquet(f"{folder}/{t}.parquet").count() for t in tables)
