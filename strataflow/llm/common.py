@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few narrow columns may be broadcast; callers count first.
@@ -56,9 +56,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it was counted to have at most limit rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it was counted to have at most limit rows (or, with a weight, such as the length of an
+    array in a row, at most that in all); else as it is, for a shuffled join."""
+    n = df.limit(limit + 1).count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if n <= limit else df
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 60) -> DataFrame:

@@ -3,11 +3,13 @@
 A window is WINDOW consecutive words of a benchmark item (a shorter item is one window). Of every WINDOW words,
 the least of its GRAM-word hashes is kept, so a text that holds a whole window of an item shares that window's
 kept hash with it: joining the kept hashes finds every document with a hit. Only these documents are looked
-at again, and matches extended to exact windows with word positions.
+at again: their windows are compared with the items' word by word (no hash decides), and hits extended by word positions.
 
-Documents are told apart by id and text; rows that are equal in both count once in the result. Null texts and
-texts without words have no windows and no hits; items without id are left out; repeated items count once.
-The benchmark side is broadcast only after its rows are counted; beyond the bound the joins shuffle."""
+Every row of the input has its row in the result, repeated ones too. Null texts and texts without words have no
+windows and no hits; an empty table gives no rows, no items no hits; items without id are left out; repeated items
+count once, items that share a window are each found. Long texts are read whole. Only the named columns are read, so
+others may have any name. The benchmark side is broadcast only after its rows (and the items in them) are counted;
+beyond the bound the joins shuffle."""
 
 from __future__ import annotations
 
@@ -57,44 +59,55 @@ def kept(hashes: Column, short: list[int]) -> Column:
     return F.concat(main, *[grams(hashes, n, n) for n in short]) if short else main
 
 
-def windows(hashes: Column, lengths: list[int]) -> Column:
-    """array<struct<length, at, h, g>> of every run of so many words; at: its first word from 1; h and g: 96 bits of hash."""
+def windows(cut_words: Column, lengths: list[int]) -> Column:
+    """array<struct<length, at, w>> of every run of so many words; at: its first word from 1; w: the words, between which
+    a space is unambiguous, as no word has one."""
 
     def run(n: int) -> Column:
         def one(i: Column) -> Column:
-            part = F.slice(hashes, i, n)
-            return F.struct(F.lit(n).alias("length"), i.alias("at"), F.xxhash64(part).alias("h"), F.hash(part).alias("g"))
+            return F.struct(F.lit(n).alias("length"), i.alias("at"), F.array_join(F.slice(cut_words, i, n), " ").alias("w"))
 
-        every = F.transform(F.sequence(F.lit(1), F.size(hashes) - (n - 1)), one)
-        return F.when(F.size(hashes) >= n, every).otherwise(F.array().cast("array<struct<length:int,at:int,h:bigint,g:int>>"))
+        every = F.transform(F.sequence(F.lit(1), F.size(cut_words) - (n - 1)), one)
+        return F.when(F.size(cut_words) >= n, every).otherwise(F.array().cast("array<struct<length:int,at:int,w:string>>"))
 
     return F.concat(*[run(n) for n in lengths])
 
 
+def times(rows: DataFrame, n: str, block: int = 10_000) -> DataFrame:
+    """Each row of rows n times (a positive column, dropped), by arrays of limited size however often that is."""
+    a, b, some = fresh(rows, "block"), fresh(rows, "within"), F.col(n)
+    out = rows.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((some - 1) / block))))
+    last = F.least(F.lit(block).cast("long"), some - F.col(a) * block) - 1
+    return out.withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), last))).drop(a, b, n)
+
+
 def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, rid, n_words, n_hit, items array<string>) for every different row (id, text) of docs; rid: a hash of the text."""
-    bench = items.select(F.col(item_id).cast("string").alias("item"), hashed(F.col(item_text)).alias("hashes")).where("item is not null and size(hashes) > 0")
+    """(doc_id, rid, n_words, n_hit, items array<string>) for every row of docs; rid: a hash of the text, by which rows of
+    one id are told apart."""
+    bench = items.select(F.col(item_id).cast("string").alias("item"), words(F.col(item_text)).alias("words")).where("item is not null and size(words) > 0")
     bench, _ = cut(bench.distinct(), "items")
-    short = sorted(r.n for r in bench.where(F.size("hashes") < WINDOW).select(F.size("hashes").alias("n")).distinct().collect())  # at most 7 rows
+    short = sorted(r.n for r in bench.where(F.size("words") < WINDOW).select(F.size("words").alias("n")).distinct().collect())  # at most 7 rows
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("rid", F.xxhash64(F.coalesce("text", F.lit(""))))
     none = F.array().cast("array<bigint>")
 
+    own_hashes = bench.select(F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
     own_keys = F.when(F.size("hashes") >= WINDOW, kept(F.col("hashes"), [])).otherwise(F.array(F.xxhash64(F.size("hashes"), "hashes")))
-    keys, _ = cut(bench.select(F.explode(own_keys).alias("k")).distinct().withColumn("hit", F.lit(True)), "keys")
+    keys, _ = cut(own_hashes.select(F.explode(own_keys).alias("k")).distinct().withColumn("hit", F.lit(True)), "keys")
     both = let(hashed(F.col("text")), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), F.coalesce(kept(h, short), none).alias("kept")))
-    marks = source.select("doc_id", "rid", both.alias("both")).select("doc_id", "rid", "both.n_words", F.explode_outer("both.kept").alias("k"))
-    stat = marks.join(maybe_broadcast(keys), "k", "left").groupBy("doc_id", "rid", "n_words").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"))
+    marks = source.select("doc_id", "rid", both.alias("both")).select("doc_id", "rid", "both.n_words", F.posexplode_outer("both.kept").alias("place", "k"))
+    met = marks.join(maybe_broadcast(keys), "k", "left")
+    # a row of docs has one first mark, even if it has no key: their number is that of equal rows
+    stat = met.groupBy("doc_id", "rid", "n_words").agg(F.max(F.coalesce("hit", F.lit(False))).alias("hit"), F.count_if(F.coalesce("place", F.lit(0)) == 0).alias("copies"))
     stat, _ = cut(stat, "marks")
 
     some = maybe_broadcast(stat.where("hit").select(F.col("doc_id").alias("c_id"), F.col("rid").alias("c_rid")))
     again = source.join(some, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("rid") == F.col("c_rid")), "left_semi")
-    whole = F.least(F.size("hashes"), F.lit(WINDOW))
-    own = let(F.col("hashes"), lambda h: windows(h, [*short, WINDOW]))
-    own = bench.select("item", whole.alias("whole"), F.inline(own)).where("length = whole")
-    own, _ = cut(own.groupBy("length", "h", "g").agg(F.collect_set("item").alias("items")), "windows")
-    runs = again.select("doc_id", "rid", F.inline(let(hashed(F.col("text")), lambda h: windows(h, [*short, WINDOW]))))
-    met = runs.join(maybe_broadcast(own), ["length", "h", "g"])
-    got = met.groupBy("doc_id", "rid").agg(
+    whole = F.least(F.size("words"), F.lit(WINDOW))
+    own = bench.select("item", whole.alias("whole"), F.inline(windows(F.col("words"), [*short, WINDOW]))).where("length = whole")
+    own, _ = cut(own.groupBy("length", "w").agg(F.collect_set("item").alias("items")), "windows")
+    runs = again.select("doc_id", "rid", F.inline(let(words(F.col("text")), lambda w: windows(w, [*short, WINDOW]))))
+    exact = runs.join(maybe_broadcast(own, weight=F.size("items")), ["length", "w"])
+    got = exact.groupBy("doc_id", "rid").agg(
         F.array_sort(F.collect_set(F.struct("at", "length"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items")
     )
 
@@ -106,13 +119,14 @@ def hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     covered = F.aggregate("spans", F.struct(F.lit(0).alias("stop"), F.lit(0).alias("n")), step, lambda acc: acc["n"])
     got = got.select(F.col("doc_id").alias("g_id"), F.col("rid").alias("g_rid"), covered.cast("long").alias("n_hit"), "items")
     joined = stat.join(got, F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("rid") == F.col("g_rid")), "left")
-    return joined.select("doc_id", "rid", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+    out = joined.select("doc_id", "rid", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), "copies")
+    return times(out, "copies")
 
 
 def clean(docs: DataFrame, items: DataFrame, least_items: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that hold windows of at least so many items; columns stay as they were."""
     a, b = fresh(docs, "bad_id"), fresh(docs, "bad_rid")
-    bad = hits(docs, items, doc_id, text).where(F.size("items") >= least_items).select(F.col("doc_id").alias(a), F.col("rid").alias(b))
+    bad = hits(docs, items, doc_id, text).where(F.size("items") >= least_items).select(F.col("doc_id").alias(a), F.col("rid").alias(b)).distinct()
     bad, _ = cut(bad, "bad")
     same = F.col(doc_id).eqNullSafe(F.col(a)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(b))
     return docs.join(maybe_broadcast(bad), same, "left_anti")
