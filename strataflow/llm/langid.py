@@ -2,11 +2,13 @@
 
 Known words score by their log frequency in each language; an unseen word is scored by the longest of its
 character n-grams that are known, five characters first, then ever shorter ones. The tables come from a
-bounded sample of labelled rows (SAMPLE, those with the least hash of their id), so the model that goes
-to the executors is bounded; every text is then scored whole.
+bounded sample of labelled rows (SAMPLE, those with the least hash of their id), of which every word and n-gram
+counts; so the model that goes to the executors is bounded by the sample's texts, not by the table. Every text is
+then scored whole, however long. A word is a run of letters; numerals such as Roman ones or fractions are no letters.
 
-A null text, or one without a letter, is 'und' with score 0. With no labelled row at all every text is 'und'.
-Labels that are null are not learned from; rows keep their multiplicity; other columns are not looked at."""
+A null or empty text, or one without a letter, is 'und' with score 0. With no labelled row at all every text is 'und',
+and accepted() keeps none. An empty table gives no rows. Labels that are null are not learned from; of languages that
+score the same the first by name is taken; rows keep their multiplicity; other columns are not looked at."""
 
 from __future__ import annotations
 
@@ -21,14 +23,19 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-#: Labelled rows learned from, words kept of them for each language, characters of the longest n-gram.
-SAMPLE, WORDS, LONGEST = 6000, 40_000, 5
+#: Labelled rows learned from, characters of the longest n-gram.
+SAMPLE, LONGEST = 6000, 5
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 200_000
 
 
 def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    low = text.lower()
+    found = WORD.findall(low)
+    if low.isascii() or all(map(str.isalpha, found)):
+        return found
+    # \w takes in numerals that are no letters
+    return [x for w in found for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def bounded(rows: DataFrame, doc_id: str, most: int) -> DataFrame:
@@ -39,8 +46,8 @@ def bounded(rows: DataFrame, doc_id: str, most: int) -> DataFrame:
 
 
 def learn(rows: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> dict:
-    """The model from a bounded sample of rows. Words are counted on the executors; the driver gets WORDS of each
-    language at most."""
+    """The model from a bounded sample of rows. Words are counted on the executors; the driver gets the different words
+    of the sample with their counts."""
     ids = bounded(rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")), "doc_id", sample)
 
     def count(batches):
@@ -51,10 +58,15 @@ def learn(rows: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str
             flat = [(k, w, n) for k, c in totals.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
-    counts = ids.select("lang", "text").repartition(16).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = counts.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))), 1, WORDS).alias("top"))
-    rows = top.select("lang", F.col("top.word").alias("words"), F.col("top.m").alias("counts")).orderBy("lang").collect()
-    return fit({r.lang: (r.words, [-m for m in r.counts]) for r in rows})
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    counts = ids.select("lang", "text").repartition(tasks).mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    got = counts.toArrow().sort_by([("lang", "ascending"), ("word", "ascending")])
+    by_lang: dict[str, tuple[list[str], list[int]]] = {}
+    for label, word, n in zip(*(got.column(i).to_pylist() for i in range(3))):
+        held = by_lang.setdefault(label, ([], []))
+        held[0].append(word)
+        held[1].append(n)
+    return fit(by_lang)
 
 
 def fit(by_lang: dict[str, tuple[list[str], list[int]]]) -> dict:
@@ -74,11 +86,9 @@ def fit(by_lang: dict[str, tuple[list[str], list[int]]]) -> dict:
                         counts.append([0] * len(langs))
                     counts[number][k] += m
         table = np.array(counts, dtype=np.float64).reshape(len(counts), len(langs))
-        keep = table.sum(1) >= (3 if n else 1)  # rare n-grams say little
-        place = np.cumsum(keep) - 1 + at
-        rows.append({g: int(place[number]) for g, number in numbers.items() if keep[number]})
-        parts.append(np.log((table[keep] + 0.1) / np.maximum(table.sum(0), 1)).astype(np.float32))
-        at += int(keep.sum())
+        rows.append({g: number + at for g, number in numbers.items()})
+        parts.append(np.log((table + 0.1) / np.maximum(table.sum(0), 1)).astype(np.float32))
+        at += len(counts)
     return {"langs": langs, "rows": rows, "matrix": np.concatenate(parts)}
 
 
@@ -155,9 +165,8 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def accepted(docs: DataFrame, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", least: float = 0.35) -> DataFrame:
-    """docs without those whose language is undetermined or less sure than least; columns stay as they were."""
+    """docs without those whose language is undetermined (all of them, if there is nothing to learn from) or less sure
+    than least; columns stay as they were."""
     model = learn(docs.where(~held_out(F.col(doc_id))), lang, doc_id, text)
-    if not model["langs"]:
-        return docs
     a, b = fresh(docs, "_pred"), fresh(docs, "_score")
     return identify(docs, model, text, a, b).where((F.col(a) != "und") & (F.col(b) >= least)).select(*docs.columns)
