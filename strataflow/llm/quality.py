@@ -4,10 +4,15 @@ A token's index vector is sparse and ternary, made from a hash; its word vector
 its neighbours over a bounded sample of labelled rows (SAMPLE). Besides words, tokens are runs of
 punctuation, the shapes of words, and marks for words seen just before or before at all. A document is
 the mean of its tokens' vectors. The network is trained in numpy and its probabilities are calibrated by a
-temperature fitted on rows kept apart. What is broadcast is bounded by SAMPLE, VOCABULARY and SIZE.
+temperature fitted on rows kept apart.
 
-Every text gets a score, null and empty ones that of no tokens. With no labels the score is 0.5, with one
-class its rate after smoothing. Rows keep their multiplicity; only the named columns are read."""
+Neighbours are summed on the executors, in whole numbers, so that the sums do not depend on how rows are dealt
+out; the driver gets one vector for each token of the sample (all of them) and one for each of its documents, but no
+texts. What is broadcast is thus bounded by the sample, not by the table.
+
+Every text gets a score, whole however long; null and empty ones that of no tokens. With no labels the score is 0.5,
+with one class its rate after smoothing; an empty table gives no rows. Of several labels of an id the least
+counts, of several texts the first in order. Rows keep their multiplicity; only the named columns are read."""
 
 from __future__ import annotations
 
@@ -16,13 +21,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from .common import cut
 from .langid import bounded
 
-SAMPLE, VOCABULARY, SIZE, SPIKES, REACH, HIDDEN = 4000, 20_000, 128, 8, 2, 24
+SAMPLE, SIZE, SPIKES, REACH, HIDDEN = 4000, 128, 8, 2, 24
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 CACHE = 100_000
 
@@ -77,27 +83,54 @@ class Vectors:
                         self.cache[t] = v
                 out += n * v
         if rows:
-            out += np.asarray(times, dtype=np.float64) @ self.matrix[rows]
+            out += np.asarray(times, dtype=np.float64) @ self.matrix[rows].astype(np.float64)
         return np.concatenate([out / max(len(found), 1), [1.0 if found else 0.0, np.log1p(len(found)) / 10]])
 
 
-def word_vectors(texts: list[str]) -> Vectors:
-    lists = [tokens(t) for t in texts]
-    top = [t for t, _ in sorted(Counter(t for x in lists for t in x).items(), key=lambda x: (-x[1], x[0]))[:VOCABULARY]]
-    words = {t: i for i, t in enumerate(top)}
-    own = np.stack([index_vector(t) for t in top]) if top else np.zeros((0, SIZE), np.float32)
-    around = np.zeros_like(own)
-    if top:
-        flat = np.array([words.get(t, -1) for x in lists for t in [*x, *[""] * REACH]])
-        for d in range(1, REACH + 1):
-            a, b = flat[:-d], flat[d:]
-            both = (a >= 0) & (b >= 0)
-            pair, n = np.unique(a[both] * len(top) + b[both], return_counts=True)
-            for left, right in ((pair // len(top), pair % len(top)), (pair % len(top), pair // len(top))):
-                for at in range(0, len(left), 50_000):
-                    np.add.at(around, left[at : at + 50_000], own[right[at : at + 50_000]] * n[at : at + 50_000, None].astype(np.float32))
-        around /= np.maximum(np.linalg.norm(around, axis=1, keepdims=True), 1e-9)
-    return Vectors(words, own + around * np.sqrt(SPIKES) / 2)
+def neighbours(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Tokens of the texts, and for each the sum of the index vectors of what stands at most REACH from it."""
+    numbers: dict[str, int] = {}
+    flat = np.array([x for t in texts for x in (*(numbers.setdefault(w, len(numbers)) for w in tokens(t)), *[-1] * REACH)], dtype=np.int64)
+    size = len(numbers)
+    own = np.stack([index_vector(t) for t in numbers]).astype(np.int32) if numbers else np.zeros((0, SIZE), np.int32)
+    around = np.zeros((size, SIZE), dtype=np.int64)
+    for d in range(1, REACH + 1):
+        a, b = flat[:-d], flat[d:]
+        both = (a >= 0) & (b >= 0)
+        for left, right in ((a[both], b[both]), (b[both], a[both])):
+            pair, n = np.unique(left * size + right, return_counts=True)
+            for at in range(0, len(pair), 100_000):
+                one, other = np.divmod(pair[at : at + 100_000], size)
+                starts = np.nonzero(np.diff(one, prepend=-1))[0]
+                around[one[starts]] += np.add.reduceat(own[other] * n[at : at + 100_000, None], starts, axis=0)
+    return list(numbers), around
+
+
+def word_vector(token: str, around: np.ndarray) -> np.ndarray:
+    """A token's index vector and, at half its length, the direction of its neighbours."""
+    return (index_vector(token) + around / max(np.linalg.norm(around), 1e-9) * SPIKES**0.5 / 2).astype(np.float16)
+
+
+def word_vectors(sample: DataFrame) -> Vectors:
+    """The vectors of all tokens of sample (text)."""
+    tasks = sample.sparkSession.sparkContext.defaultParallelism
+
+    def partial(batches):
+        for b in batches:
+            found, around = neighbours(b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([v.tobytes() for v in around], pa.binary())], ["token", "around"])
+
+    def merged(batches):
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            for t, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                more = np.frombuffer(v, dtype=np.int64)
+                sums[t] = sums[t] + more if t in sums else more
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([word_vector(t, v).tobytes() for t, v in sums.items()], pa.binary())], ["token", "v"])
+
+    parts = sample.select("text").repartition(tasks).mapInArrow(partial, "token string, around binary")
+    got = parts.repartition(tasks, "token").mapInArrow(merged, "token string, v binary").toArrow().sort_by("token")
+    return Vectors({t: i for i, t in enumerate(got.column(0).to_pylist())}, np.frombuffer(b"".join(got.column(1).to_pylist()), dtype=np.float16).reshape(-1, SIZE))
 
 
 def forward(net: dict, x: np.ndarray) -> np.ndarray:
@@ -131,25 +164,33 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.01, de
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[Vectors, dict]:
     """Word vectors and network from a bounded sample of the labelled rows of docs."""
-    known = bounded(labels.select(F.col("doc_id").alias("l_id"), F.col(label).alias("y")).where("y is not null").dropDuplicates(["l_id"]), "l_id", sample)
-    rows = docs.select(F.col(doc_id).alias("l_id"), F.col(text).alias("text")).join(F.broadcast(known), "l_id").dropDuplicates(["l_id"]).orderBy("l_id").collect()  # sample rows at most
-    vectors = word_vectors([r.text for r in rows])
-    x = np.stack([vectors(r.text) for r in rows]) if rows else np.zeros((0, SIZE + 2))
-    return vectors, train(x, np.array([float(r.y) for r in rows]))
+    spark = docs.sparkSession
+    known = labels.select(F.col("doc_id").alias("l_id"), F.col(label).alias("y")).where("y is not null").groupBy("l_id").agg(F.min("y").alias("y"))
+    known = bounded(known, "l_id", sample)
+    rows = docs.select(F.col(doc_id).alias("l_id"), F.col(text).alias("text")).join(F.broadcast(known), "l_id")  # sample rows at most
+    rows, _ = cut(rows.groupBy("l_id").agg(F.min("text").alias("text"), F.min("y").cast("double").alias("y")), "sample")
+    vectors = word_vectors(rows)
+    got = pooled(spark, rows.select("l_id", "y", "text"), vectors, "x binary", lambda x: pa.array([v.tobytes() for v in x], pa.binary())).toArrow().sort_by("l_id")
+    x = np.frombuffer(b"".join(got.column("x").to_pylist()), dtype=np.float64).reshape(-1, SIZE + 2)
+    return vectors, train(x, got.column("y").to_numpy())
+
+
+def pooled(spark: SparkSession, rows: DataFrame, vectors: Vectors, field: str, made, text: str = "text", last: bool = True) -> DataFrame:
+    """rows, without text if last, with a field that made() derives from the pooled vectors of their texts."""
+    shared = spark.sparkContext.broadcast((vectors.words, vectors.matrix))
+    name = field.split()[0]
+    keep = [c for c in rows.columns if not (last and c == text) and c != name]
+
+    def run(batches):
+        pool = Vectors(*shared.value)
+        for b in batches:
+            x = np.stack([pool(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]) if len(b) else np.zeros((0, SIZE + 2))
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], made(x)], [*keep, name])
+
+    return rows.mapInArrow(run, rows.select(*keep).schema.add(*field.split()))
 
 
 def score(docs: DataFrame, model: tuple[Vectors, dict], text: str = "text", out: str = "score") -> DataFrame:
     """docs with the column out, the calibrated probability of label 1, in place of any of that name."""
     vectors, net = model
-    shared = docs.sparkSession.sparkContext.broadcast((vectors.words, vectors.matrix, net))
-    keep = [c for c in docs.columns if c != out]
-
-    def run(batches):
-        words, matrix, net = shared.value
-        pooled = Vectors(words, matrix)
-        for b in batches:
-            x = np.stack([pooled(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]) if len(b) else np.zeros((0, SIZE + 2))
-            p = 1 / (1 + np.exp(-np.clip(forward(net, x) / net["t"], -30, 30)))
-            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(c)) for c in keep], pa.array(p, pa.float64())], [*keep, out])
-
-    return docs.mapInArrow(run, docs.select(*keep).schema.add(out, "double"))
+    return pooled(docs.sparkSession, docs, vectors, f"{out} double", lambda x: pa.array(1 / (1 + np.exp(-np.clip(forward(net, x) / net["t"], -30, 30))), pa.float64()), text=text, last=False)
