@@ -1,32 +1,39 @@
 """Removal of repeated substrings, by a depth-limited radix sort of suffixes.
 
-A byte goes if a LENGTH-byte string that also starts elsewhere covers it. Suffixes are put in order by most-
-significant-digit passes and only to depth LENGTH; a suffix alone in its group drops out, and the groups that are
-left after the last pass are exactly the repeated windows. To keep the first pass from shuffling a key for every
-byte, only one suffix stands for each run of windows: that at the window's least GRAM-byte hash (leftmost on ties).
-The choice depends on the window's bytes alone, so equal windows have equal suffixes at equal distances.
-
-Pass 1, digit of GRAM bytes: suffixes whose GRAM-gram occurs once drop out, counted by partial aggregates.
-Pass 2, the whole stretch of windows a suffix stands for: stretches that occur again are repeated entirely.
-Pass 3, for gram groups with different stretches: one suffix of each stretch is ordered by every single window.
-A group of over GROUP different stretches is not gathered: its windows are counted one by one, by hash aggregates.
-
-Null texts are empty; texts under LENGTH bytes keep everything; the documents are told apart by id and text, and
-rows equal in both are repeats of each other, each with its own result."""
+A byte goes if a LENGTH-byte string (a window) that also starts elsewhere covers it. Windows are suffixes cut at depth
+LENGTH, put in order by digits: the first passes deal them out to buckets across the cluster, the others go through
+a bucket most significant digit first, DIGIT bytes at a time; a suffix alone in its group drops out after each pass,
+and the groups left at depth LENGTH are exactly the repeated windows.
+
+A pass that shuffled a key for every byte could not fit a few times the input, so the digit of the first pass is not at
+a fixed place: it is the window's least GRAM bytes by hash (leftmost on ties), which windows that overlap share. The
+windows around one such gram, a stretch, travel as one row; as the digit is chosen by the window's bytes alone, equal
+windows meet in one bucket with the gram at the same distance.
+
+Pass 1, digit of GRAM bytes: stretches whose gram occurs once drop out, counted by partial aggregates.
+Pass 2, whole stretches as digits (a 128-bit cryptographic digest): those that occur again are repeated entirely.
+Passes 3 to 10, in buckets with different stretches: the windows of one stretch of each kind, by gram and its distance,
+then by LENGTH / DIGIT digits of their own; at the end the bytes of each group are compared, so no hash decides.
+A bucket of over GROUP different stretches is not gathered: its windows are counted one by one, by the digest of all
+their digits at once, with hash aggregates.
+
+Null texts are empty; texts under LENGTH bytes keep everything; an empty table gives no rows; long texts are worked on
+in pieces but whole; documents are told apart by id and a hash of the text, and rows equal in both are repeats of each
+other, each with its own result (of equal windows none stays). Only the named columns are read."""
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh3_128_digest
 
 from .common import cut
 
-LENGTH, GRAM, GROUP, PIECE, SEED = 400, 64, 20_000, 1 << 20, 3
+LENGTH, GRAM, DIGIT, GROUP, PIECE, SEED = 400, 64, 50, 20_000, 1 << 20, 3
 AT_BITS = 24
 RNG = np.random.default_rng(SEED)
 BYTES = RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -52,6 +59,11 @@ def rolled(data: np.ndarray, size: int) -> np.ndarray:
     return whole ^ (whole >> np.uint64(32))
 
 
+def digest(part: bytes, place: int = 0) -> bytes:
+    """128 bits of a cryptographic hash: nobody can write texts that meet in it."""
+    return hashlib.blake2b(part, digest_size=16, salt=place.to_bytes(8, "little")).digest()
+
+
 def least(values: np.ndarray, size: int) -> np.ndarray:
     """The least of every size consecutive values."""
     width = 1
@@ -114,7 +126,7 @@ def suffixes(batches):
         for numbers, offsets, starts, ends, data in pieces(encoded(b.column(2))):
             text, suffix, lo, hi, key = stretches(data, starts, ends)
             raw = data.tobytes()
-            sup = [xxh3_128_digest(raw[a : z + LENGTH], int(s - a)) for a, z, s in zip(lo.tolist(), hi.tolist(), suffix.tolist())]
+            sup = [digest(raw[a : z + LENGTH], s - a) for a, z, s in zip(lo.tolist(), hi.tolist(), suffix.tolist())]
             row = np.asarray(numbers)[text] if len(text) else np.empty(0, np.int64)
             shift = np.asarray(offsets)[text] - starts[text] if len(text) else np.empty(0, np.int64)
             take = pa.array(row, pa.int64())
@@ -138,17 +150,49 @@ def contexts(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), *(picked.field(c).slice(k, len(got)) for c in ("key", "copies", "lo", "at")), pa.array(got, pa.binary())], names)
 
 
-def window_hashes(texts: list[bytes], group: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text number, window's place in the text) of every window; equal hashes in a group at equal distances."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the joined texts, text number, place in the text) of every window."""
     sizes = np.array([len(t) for t in texts])
     counts = sizes - LENGTH + 1
     text = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    hashes = rolled(data, LENGTH)[np.repeat(np.cumsum(sizes) - sizes, counts) + place]
-    far = (distance[text] - place).astype(np.uint64)
-    hashes = (hashes + far * np.uint64(0xD6E8FEB86659FD93)) ^ (group[text].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    return hashes, text, place
+    return np.repeat(np.cumsum(sizes) - sizes, counts) + place, text, place
+
+
+def radix(data: np.ndarray, windows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number among windows, group) of the windows (places in data) that are not alone in their group at depth LENGTH.
+    Passes go from the first digit to the last; a group is numbered by the order of its windows so far."""
+    digits = rolled(data, DIGIT)
+    active = np.arange(len(windows))
+    for at in range(0, LENGTH, DIGIT):
+        key = digits[windows[active] + at] ^ (group.astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+        order = np.argsort(key)
+        key = key[order]
+        number = np.cumsum(np.append(True, key[1:] != key[:-1])[: len(key)]) - 1
+        shared = np.bincount(number)[number] > 1
+        active, group = active[order[shared]], number[shared]
+    return active, group
+
+
+def confirmed(raw: bytes, windows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which of the windows have another one of equal bytes in their group. The bytes are compared run by run with those of
+    the group's first window; only where a comparison fails are windows looked at one by one."""
+    if not len(windows):
+        return np.zeros(0, bool)
+    first = np.full(group.max() + 1, len(raw))
+    np.minimum.at(first, group, windows)
+    order = np.argsort(windows)
+    at, like = windows[order], first[group[order]]
+    lo = np.nonzero(np.append(True, (at[1:] != at[:-1] + 1) | (like[1:] != like[:-1] + 1)))[0]
+    sizes = np.diff(np.append(lo, len(at))) + LENGTH - 1
+    same = [raw[a : a + n] == raw[b : b + n] for a, b, n in zip(at[lo].tolist(), like[lo].tolist(), sizes.tolist())]
+    out = np.ones(len(windows), bool)
+    if not all(same):
+        odd = np.isin(group, np.unique(np.concatenate([group[order[a : a + n - LENGTH + 1]] for a, n, s in zip(lo, sizes, same) if not s])))
+        told = [(g, raw[w : w + LENGTH]) for g, w in zip(group[odd].tolist(), windows[odd].tolist())]
+        counts = Counter(told)
+        out[odd] = [counts[x] > 1 for x in told]
+    return out
 
 
 def runs(text: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,9 +216,13 @@ def settled(batches):
             stop = stop if stop > at else np.searchsorted(group, group[at], "right")
             part = inner.slice(at, stop - at)
             lo = part.field("lo").to_numpy()
-            hashes, text, place = window_hashes(part.field("bytes").to_pylist(), group[at:stop], part.field("at").to_numpy() - lo)
-            _, where, n = np.unique(hashes, return_inverse=True, return_counts=True)
-            keep = (n[where] > 1) & (part.field("copies").to_numpy()[text] == 1)
+            texts = part.field("bytes").to_pylist()
+            windows, text, place = windows_of(texts)
+            raw = b"".join(texts)
+            far = (part.field("at").to_numpy() - lo)[text] - place
+            met, numbers = radix(np.frombuffer(raw, dtype=np.uint8), windows, (group[at:stop] - group[at])[text] * LENGTH + far)
+            met = met[confirmed(raw, windows[met], numbers)]
+            keep = np.sort(met[part.field("copies").to_numpy()[text[met]] == 1])
             text, first, last = runs(text[keep], place[keep])
             take = pa.array(text)
             yield pa.RecordBatch.from_arrays([part.field("doc_id").take(take), part.field("rid").take(take), pa.array(lo[text] + first, pa.int64()), pa.array(lo[text] + last + LENGTH, pa.int64())], ["doc_id", "rid", "lo", "stop"])
@@ -187,7 +235,7 @@ def single_windows(batches):
         for r in range(len(b)):
             doc, rid, key, copies, lo, at, text = (b.column(i)[r].as_py() for i in range(7))
             n = len(text) - LENGTH + 1
-            hashes = [xxh3_128_digest(text[i : i + LENGTH]) for i in range(n)]
+            hashes = [digest(text[i : i + LENGTH]) for i in range(n)]
             yield pa.RecordBatch.from_arrays([b.column(i).take(pa.array([r] * n)) for i in (0, 1, 2)] + [pa.array([at - lo - i for i in range(n)], pa.int64()), pa.array(hashes, pa.binary()), pa.array([lo + i for i in range(n)], pa.int64()), pa.array([copies] * n, pa.int64())], ["doc_id", "rid", "key", "far", "hash", "lo", "copies"])
 
 
