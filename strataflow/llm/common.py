@@ -39,6 +39,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def cut(df: DataFrame, name: str = "cut") -> tuple[DataFrame, str]:
     """Write df to the shared folder and read it again: the lineage ends there and a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -56,6 +61,12 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def let(value: Column, body) -> Column:
+    """body(value), value being computed once for each row; a plain reference would be computed anew for each
+    element of the arrays made from it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
     """df with a broadcast hint if it was counted to have at most limit rows (or, with a weight, such as the length of an
     array in a row, at most that in all); else as it is, for a shuffled join."""

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, maybe_broadcast
+from .common import cut, fresh, let, maybe_broadcast
 
 WINDOW, GRAM = 8, 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -30,12 +30,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(low, BETWEEN), "")
 
 
-def let(value: Column, body) -> Column:
-    """body(value), value being computed once for each row; a plain reference would be computed anew for each
-    element of the arrays made from it."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def hashed(text: Column) -> Column:
     """A hash for each word of a text."""
     return F.transform(words(text), lambda w: F.xxhash64(w))

@@ -1,17 +1,20 @@
 """Personal data: expressions propose spans, checksums confirm them, context words adjust their score.
 
-Everything runs in the JVM. Base kinds (email, ip, card, phone) are reported whenever they match and
-pass their check; further kinds only above a score, which nearby context words raise. Null texts count
-as empty, empty texts have no spans, rows with the same text each get their own result, and other
-columns of the input are left alone (the operator reads only the named text column)."""
+Everything runs in the JVM. A span has the score of its pattern and checksum; words within NEAR characters on either
+side raise or lower it. Base kinds (email, ip, card, phone) are reported whenever they match and pass their check, with
+their score; further kinds only at LEAST or above, so that context decides: a national id needs a word that speaks
+for it, an account number with a right checksum goes if a word speaks against it. Null texts count as empty, empty
+texts have no spans, an empty table gives no rows, long texts are read whole; spans of several kinds at one place are
+all reported, by start, then kind; rows with the same text each get their own result, and other columns of the
+input are left alone, whatever their names (the operator reads only the named text column)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
-from .spans import Rule, found
+from .common import fresh, let
+from .spans import Rule, folded, found
 
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
@@ -63,11 +66,13 @@ RULES = [
 ]
 BASE = 4
 KINDS = [r.kind for r in RULES]
-#: By kind: score without context, words that raise it.
+#: By kind: score without context (of pattern and checksum), words that raise it.
 SCORES = {
     "email": (0.9, "mail|contact|write"), "ip": (0.6, r"\bip\b|address|host|server"), "card": (0.8, "card|visa|credit|payment|master"),
-    "phone": (0.6, "phone|tel|call|mobile|fax|whatsapp"), "iban": (0.8, "iban|account|bank|konto|compte|cuenta"), "national_id": (0.2, r"\bssn\b|social security|national id|tax id"),
+    "phone": (0.6, "phone|tel|call|mobile|fax|whatsapp"), "iban": (0.6, "iban|account|bank|konto|compte|cuenta"), "national_id": (0.2, r"\bssn\b|social security|national id|tax id"),
 }
+#: Words that lower the score of any kind.
+AGAINST = r"\bisbn\b|serial|invoice|tracking|part (?:no|number)|order (?:no|number)|version|example|dummy"
 NEAR, BONUS, LEAST = 40, 0.35, 0.5
 
 
@@ -85,12 +90,13 @@ def detect(docs: DataFrame, text: str = "text", out: str = "pii") -> DataFrame:
         for i, k in enumerate(KINDS):
             least, words = SCORES[k]
             score = F.when(x["kind"] == i, least + F.when(before.rlike(words) | after.rlike(words), BONUS).otherwise(0.0)).otherwise(score)
-        return F.struct(*[x[c].alias(c) for c in ("start", "kind", "stop", "match")], F.least(score, F.lit(1.0)).alias("score"))
+        score = score - F.when(before.rlike(AGAINST) | after.rlike(AGAINST), BONUS).otherwise(0.0)
+        return F.struct(*[x[c].alias(c) for c in ("start", "kind", "stop", "match")], F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 2).alias("score"))
 
     raw = fresh(docs, f"{out}_raw")
     with_raw = docs.withColumn(raw, spans)
     kept = F.filter(F.transform(F.col(raw), scored), lambda x: (x["kind"] < BASE) | (x["score"] >= LEAST))
-    return with_raw.withColumn(out, F.when(F.size(raw) > 0, F.array_sort(kept)).otherwise(F.array().cast(f"array<struct<start:int,kind:int,stop:int,match:string,score:double>>"))).drop(raw)
+    return with_raw.withColumn(out, F.when(F.size(raw) > 0, F.array_sort(kept)).otherwise(F.array().cast("array<struct<start:int,kind:int,stop:int,match:string,score:double>>"))).drop(raw)
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -100,10 +106,12 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     marks = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     whole = F.col(text)
 
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(acc["out"], F.substr(whole, acc["at"] + 1, x["start"] - acc["at"]), F.get(marks, x["kind"]))
-        return F.struct(F.greatest(acc["at"], x["stop"]).alias("at"), F.when(x["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        pieces = F.array(F.substr(whole, at + 1, x["start"] - at), F.get(marks, x["kind"]))
+        return F.greatest(at, x["stop"]), F.when(x["start"] >= at, pieces).otherwise(F.array().cast("array<string>"))
+
+    def joined(done: Column) -> Column:
+        return F.concat(F.array_join(done["out"], ""), F.substr(whole, done["at"] + 1))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    new = F.aggregate(F.col(name), start, step, lambda acc: F.concat(acc["out"], F.substr(whole, acc["at"] + 1)))
+    new = let(folded(F.col(name), F.array().cast("array<string>"), step), joined)
     return detect(docs, text, name).withColumn(text, F.when(F.size(name) > 0, new).otherwise(whole)).select(*docs.columns)

@@ -12,6 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import let
+
+BLOCK = 256
 SPAN = "struct<start:int,kind:int,stop:int,match:string>"
 
 
@@ -26,21 +29,40 @@ class Rule:
     keep: object = None
 
 
+def folded(items: Column, none: Column, step) -> Column:
+    """struct<at, out> after step(at, x), a pair of the next at (from 0) and an array to add to out, for each x of items;
+    none: the empty array of out's type."""
+
+    def add(acc: Column, x: Column) -> Column:
+        at, more = step(acc["at"], x)
+        return F.struct(at.alias("at"), F.concat(acc["out"], more).alias("out"))
+
+    def block(acc: Column, part: Column) -> Column:
+        inner = F.aggregate(part, F.struct(acc["at"].alias("at"), none.alias("out")), add)
+        return let(inner, lambda i: F.struct(i["at"].alias("at"), F.concat(acc["out"], i["out"]).alias("out")))
+
+    def whole(every: Column) -> Column:
+        last = F.floor(F.greatest(F.size(every) - 1, F.lit(0)) / BLOCK).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(every, k * BLOCK + 1, BLOCK))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), block)
+
+    return let(items, whole)
+
+
 def found(text: Column, rule: Rule, number: int) -> Column:
     """array<SPAN> of the rule's leftmost non-overlapping matches in text, without the dropped ones."""
     none = F.expr(f"cast(array() as array<{SPAN}>)")
     got = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.char_length(x))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + x["gap"]
         stop = start + F.char_length(x["m"])
         one = F.struct(start.alias("start"), F.lit(number).alias("kind"), stop.alias("stop"), x["m"].alias("match"))
-        keep = F.lit(True) if rule.keep is None else rule.keep(x["m"])
-        return F.struct(stop.alias("at"), F.when(keep, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+        return stop, F.array(one) if rule.keep is None else F.when(rule.keep(x["m"]), F.array(one)).otherwise(none)
 
     zipped = F.filter(F.arrays_zip(gaps.alias("gap"), got.alias("m")), lambda x: x["m"].isNotNull())
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    spans = folded(zipped, none, step)["out"]
     has = F.lit(True) if not rule.hint else text.rlike(rule.hint)
     return F.when(has & text.rlike(rule.pattern), spans).otherwise(none)
 
