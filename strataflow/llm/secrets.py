@@ -1,15 +1,19 @@
 """Secrets in texts, by an incremental ledger of blobs.
 
 Every text is a blob named by its SHA-256. Only pairs of blob and rule version that the ledger lacks are
-scanned, each distinct blob once; findings are then joined back to every path that holds the blob.
-Runs in the JVM. Null texts count as empty; empty texts have no findings; rows that share a text share
-its findings; equal rows each keep their own result; other columns of the input are not touched."""
+scanned, each distinct blob once; findings are then joined back to every path that holds the blob. A ledger can live
+in a folder (update): each call adds the entries of the blobs it scanned, and the next one reads them all.
+
+Runs in the JVM. Null texts count as empty; empty texts have no findings; an empty table gives no rows; long texts are
+scanned whole; findings of several kinds at one place are all listed, by start, then kind; rows that share a text
+share its findings; equal rows each keep their own result; other columns of the input are not touched."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, path_exists
 from .spans import SPAN, Rule, found
 
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
@@ -44,3 +48,16 @@ def scan(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: Data
     if ledger is not None:
         entries = entries.unionByName(known.join(rows.select("blob").distinct(), "blob", "left_semi"))
     return rows.select(path, "blob").join(entries.select("blob", "secrets"), "blob").select(path, "blob", "secrets"), entries
+
+
+def update(docs: DataFrame, folder: str, path: str = "doc_id", text: str = "text") -> DataFrame:
+    """Findings (path, blob, secrets) of docs, with the ledger in folder: it need not exist; what it lacks is scanned and
+    added. Batches written by runs that overlap may repeat an entry; one of the equal ones counts."""
+    spark = docs.sparkSession
+    known = spark.read.schema(f"blob string, rule_version string, secrets array<{SPAN}>").parquet(folder) if path_exists(spark, folder) else None
+    _, entries = scan(docs, path, text, known)
+    fresh, _ = cut(entries, "entries")
+    new = fresh if known is None else fresh.join(known.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti").select(*fresh.columns)
+    new.write.mode("append").parquet(folder)
+    blobs = docs.select(F.col(path), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
+    return blobs.join(fresh.select("blob", "secrets"), "blob").select(path, "blob", "secrets")
