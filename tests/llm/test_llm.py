@@ -400,14 +400,32 @@ def test_warc_round_trip(spark):
 
 
 def test_warc_damage():
+    import gzip
+
     whole = warc.record(1, "u", b"payload", None, False)
-    assert warc.parse(next(warc.members([whole[:9], whole[9:]])))[1] == b"payload"
-    with pytest.raises(warc.Damaged):
-        list(warc.members([whole[:-3]]))
-    member = next(warc.members([whole]))
+    (head, block), = warc.records([whole[:9], whole[9:]])
+    assert block == b"payload" and head["WARC-Date"] and head["WARC-Record-ID"].startswith("<urn:uuid:")
     with pytest.raises(warc.Damaged):
-        warc.parse(member.replace(b"payload\r", b"paYload\r"))
-    assert [warc.parse(m)[1] for m in warc.members([whole * 3])] == [b"payload"] * 3
+        list(warc.records([whole[:-3]]))
+    raw = gzip.decompress(whole)
+    for broken in (raw.replace(b"payload\r", b"paYload\r"), raw + b"x", raw[:-5], raw.replace(b"WARC/1.1", b"HTTP/1.1", 1), raw[:20]):
+        with pytest.raises(warc.Damaged):
+            list(warc.records([gzip.compress(broken)]))
+    assert [b for _, b in warc.records([whole * 3])] == [b"payload"] * 3
+    ids = [h["WARC-Record-ID"] for h, _ in warc.records([warc.record(1, "u", b"", None, False) * 1, warc.record(1, "u", b"", None, False)])]
+    assert len(set(ids)) == 2
+    for payload in (b"", b"0" * 5_000_000, bytes(np.random.default_rng(0).integers(0, 256, 300_000, dtype=np.uint8)), b"x" * ((1 << 16) - 300), b"\r\n\r\n" * 40_000):
+        packed = warc.record(None, None, payload, None, False) + whole
+        for size in (7 if len(payload) < 100_000 else 1000, 1 << 16, len(packed)):
+            assert [b for _, b in warc.records(packed[i : i + size] for i in range(0, len(packed), size))] == [payload, b"payload"]
+    assert warc.store_of("file:///tmp/x")[1] == "/tmp/x"
+
+
+def test_warc_with_clashing_columns(spark):
+    names = ["first", "sha", "size", "revisit", "records", "path", "bytes", "payload", "record_type", "refers_to"]
+    pages = spark.createDataFrame([(1, "u", "a"), (2, "u", "a"), (2, "u", "a"), (None, None, None)], "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in names})
+    got = sorted(((r.page_id or 0), r.record_type, r.refers_to or 0) for r in warc.read(warc.write(pages)).collect())
+    assert got == [(0, "response", 0), (1, "revisit", 2), (2, "response", 0), (2, "response", 0)]
 
 
 def test_mixing(spark):
