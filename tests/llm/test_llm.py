@@ -346,12 +346,34 @@ def test_embeddings(spark, block):
 def test_estimates_are_unbiased():
     rng = np.random.default_rng(0)
     x = embed.unit(rng.normal(size=(400, 64)))
-    turn = embed.rotations(64, 64, 1)
+    turn = embed.rotations(64, 128, 1)
     code, f = embed.codes(x, turn)
-    signs = np.unpackbits(code, axis=1).astype(float) * 2 - 1
-    error = signs @ (x @ turn.T).T / 8 / f[:, None] - x @ x.T
-    assert abs(error.mean()) < 0.002
-    assert embed.candidates(x, x, code, f, turn, 0.95).diagonal().all()
+    assert ((f > 0.6) & (f <= 1)).all()
+    i, j = (k.ravel() for k in np.meshgrid(np.arange(400), np.arange(400)))
+    estimate, bound = embed.estimates(code[i], f[i], (x @ turn.T)[j], 64)
+    exact = np.einsum("ij,ij->i", x[i], x[j])
+    assert abs((estimate - exact).mean()) < 0.002 and (np.abs(estimate - exact) <= bound + 1e-5).mean() > 0.9999
+    near = embed.unit(x + rng.normal(size=x.shape) * 0.02)  # every one of these pairs is near
+    assert np.einsum("ij,ij->i", x, near).min() > 0.95
+    a, b = embed.near_codes(code, embed.codes(near, turn)[0], 128, 0.95)
+    assert set(range(400)) <= set(a[a == b]) and len(a) < 500
+
+
+def test_embeddings_of_several_lengths(spark):
+    """Lengths that agree modulo powers of two, and dense groups of near vectors over the bound of a block."""
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(v) for v in rng.normal(size=size)]) for i, size in enumerate([1, 1, 2, 2, 3, 8, 4104, 4104])]
+    rows[7] = (7, rows[6][1][:])
+    base = rng.normal(size=16)
+    rows += [(8 + i, [float(v) for v in base + rng.normal(size=16) * 0.08]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("v", "rep", "m", "x", "code", "table", "key", "size", "fine", "a", "b", "n", "node")})
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    pairs = [(i, j) for i in unit for j in unit if i < j and len(unit[i]) == len(unit[j]) and unit[i] @ unit[j] >= 0.95]
+    root = union_find(len(rows), pairs)
+    want = {i: (sum(i in p for p in pairs), root[i]) for i in range(len(rows))}
+    for block in (4096, 16):
+        assert {r.vec_id: (r.n_links, r.component_id) for r in embed.near_duplicates(df, block=block).collect()} == want
+    assert (6, 7) in pairs and len(pairs) > 2000
 
 
 def test_language(spark, folder):
