@@ -64,10 +64,16 @@ def index_vector(token: str) -> np.ndarray:
 
 
 class Vectors:
-    """words: row numbers of matrix; other tokens have their index vectors."""
+    """words: row numbers of matrix (bytes, times the row's scale); other tokens have their index vectors."""
 
-    def __init__(self, words: dict[str, int], matrix: np.ndarray):
-        self.words, self.matrix, self.cache = words, matrix, {}
+    def __init__(self, words: dict[str, int], matrix: np.ndarray, scale: np.ndarray):
+        self.words, self.matrix, self.scale, self.cache, self.held = words, matrix, scale, {}, None
+
+    def shared(self, spark: SparkSession):
+        """The one broadcast of these vectors."""
+        if self.held is None:
+            self.held = spark.sparkContext.broadcast((self.words, self.matrix, self.scale))
+        return self.held
 
     def __call__(self, text: str | None) -> np.ndarray:
         found = tokens(text)
@@ -83,7 +89,7 @@ class Vectors:
                         self.cache[t] = v
                 out += n * v
         if rows:
-            out += np.asarray(times, dtype=np.float64) @ self.matrix[rows].astype(np.float64)
+            out += (np.asarray(times, dtype=np.float64) * self.scale[rows]) @ self.matrix[rows].astype(np.float64)
         return np.concatenate([out / max(len(found), 1), [1.0 if found else 0.0, np.log1p(len(found)) / 10]])
 
 
@@ -93,7 +99,7 @@ def neighbours(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     flat = np.array([x for t in texts for x in (*(numbers.setdefault(w, len(numbers)) for w in tokens(t)), *[-1] * REACH)], dtype=np.int64)
     size = len(numbers)
     own = np.stack([index_vector(t) for t in numbers]).astype(np.int32) if numbers else np.zeros((0, SIZE), np.int32)
-    around = np.zeros((size, SIZE), dtype=np.int64)
+    around = np.zeros((size, SIZE), dtype=np.int32)
     for d in range(1, REACH + 1):
         a, b = flat[:-d], flat[d:]
         both = (a >= 0) & (b >= 0)
@@ -106,9 +112,11 @@ def neighbours(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     return list(numbers), around
 
 
-def word_vector(token: str, around: np.ndarray) -> np.ndarray:
-    """A token's index vector and, at half its length, the direction of its neighbours."""
-    return (index_vector(token) + around / max(np.linalg.norm(around), 1e-9) * SPIKES**0.5 / 2).astype(np.float16)
+def word_vector(token: str, around: np.ndarray) -> tuple[bytes, float]:
+    """A token's index vector and, at half its length, the direction of its neighbours: in bytes, and their scale."""
+    v = index_vector(token) + around / max(np.linalg.norm(around), 1e-9) * SPIKES**0.5 / 2
+    scale = max(float(np.abs(v).max()), 1e-9) / 127
+    return np.rint(v / scale).astype(np.int8).tobytes(), scale
 
 
 def word_vectors(sample: DataFrame) -> Vectors:
@@ -124,13 +132,14 @@ def word_vectors(sample: DataFrame) -> Vectors:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for t, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                more = np.frombuffer(v, dtype=np.int64)
+                more = np.frombuffer(v, dtype=np.int32).astype(np.int64)
                 sums[t] = sums[t] + more if t in sums else more
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([word_vector(t, v).tobytes() for t, v in sums.items()], pa.binary())], ["token", "v"])
+        made = [word_vector(t, v) for t, v in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x[0] for x in made], pa.binary()), pa.array([x[1] for x in made], pa.float64())], ["token", "v", "scale"])
 
     parts = sample.select("text").repartition(tasks).mapInArrow(partial, "token string, around binary")
-    got = parts.repartition(tasks, "token").mapInArrow(merged, "token string, v binary").toArrow().sort_by("token")
-    return Vectors({t: i for i, t in enumerate(got.column(0).to_pylist())}, np.frombuffer(b"".join(got.column(1).to_pylist()), dtype=np.float16).reshape(-1, SIZE))
+    got = parts.repartition(tasks, "token").mapInArrow(merged, "token string, v binary, scale double").toArrow().sort_by("token")
+    return Vectors({t: i for i, t in enumerate(got.column(0).to_pylist())}, np.frombuffer(b"".join(got.column(1).to_pylist()), dtype=np.int8).reshape(-1, SIZE), got.column(2).to_numpy())
 
 
 def forward(net: dict, x: np.ndarray) -> np.ndarray:
@@ -177,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: st
 
 def pooled(spark: SparkSession, rows: DataFrame, vectors: Vectors, field: str, made, text: str = "text", last: bool = True) -> DataFrame:
     """rows, without text if last, with a field that made() derives from the pooled vectors of their texts."""
-    shared = spark.sparkContext.broadcast((vectors.words, vectors.matrix))
+    shared = vectors.shared(spark)
     name = field.split()[0]
     keep = [c for c in rows.columns if not (last and c == text) and c != name]
 

@@ -550,10 +550,10 @@ def test_quality_by_plain_loops(spark, folder):
     for w, k in vectors.words.items():
         size = sum(a * a for a in known[w]) ** 0.5
         want = [b + (a / size * 8**0.5 / 2 if size else 0) for a, b in zip(known[w], quality.index_vector(w))]
-        assert np.allclose(vectors.matrix[k], want, atol=2e-3)
+        assert np.allclose(vectors.matrix[k] * vectors.scale[k], want, atol=0.02)
     text = "one two unseen"
     x = quality.tokens(text)
-    mean = [sum(float(vectors.matrix[vectors.words[w]][d]) if w in vectors.words else float(quality.index_vector(w)[d]) for w in x) / len(x) for d in range(quality.SIZE)]
+    mean = [sum(float(vectors.matrix[vectors.words[w]][d] * vectors.scale[vectors.words[w]]) if w in vectors.words else float(quality.index_vector(w)[d]) for w in x) / len(x) for d in range(quality.SIZE)]
     assert np.allclose(vectors(text), [*mean, 1.0, np.log1p(len(x)) / 10])
     rng = np.random.default_rng(1)
     many, y = rng.normal(size=(60, quality.SIZE + 2)), np.array([0.0, 1.0] * 30)
