@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import cut
 
 LENGTH, GRAM, DIGIT, GROUP, PIECE, SEED = 400, 64, 50, 20_000, 1 << 20, 3
-AT_BITS = 24
+AT_BITS, STEP = 24, 8000
 RNG = np.random.default_rng(SEED)
 BYTES = RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = 0x9E3779B97F4A7C15
@@ -211,8 +211,8 @@ def settled(batches):
         inner = lists.values.slice(ends[0], ends[-1] - ends[0])
         group = np.repeat(np.arange(len(b)), np.diff(ends))
         at = 0
-        while at < len(group):  # whole groups up to some 20,000 stretches, or one group
-            stop = np.searchsorted(group, group[min(at + 20_000, len(group)) - 1], "left") if at + 20_000 < len(group) else len(group)
+        while at < len(group):  # whole groups up to some STEP stretches, or one group
+            stop = np.searchsorted(group, group[min(at + STEP, len(group)) - 1], "left") if at + STEP < len(group) else len(group)
             stop = stop if stop > at else np.searchsorted(group, group[at], "right")
             part = inner.slice(at, stop - at)
             lo = part.field("lo").to_numpy()
