@@ -1,4 +1,4 @@
-"""IP addresses, identifiers and BLAKE3: functions that the JVM has no counterpart for run as Arrow batches."""
+"""IP addresses and identifiers as JVM expressions; BLAKE3, which the JVM lacks, in Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,24 +10,35 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def in_network(ip: Column, cidr: Column) -> Column:
-    """ip << cidr, for IPv4 and IPv6; null if either is null, an error if either is malformed."""
+V4 = r"^(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})$"
+V6 = r"(?i)^(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?(?:::)?(?:[0-9a-f]{1,4}(?::[0-9a-f]{1,4})*)?$"
+
+
+def bits(ip: Column) -> Column:
+    """The 32 or 128 binary digits of an address as text; a malformed one is an error."""
 
-    @F.pandas_udf("boolean")
-    def f(a: pd.Series, b: pd.Series) -> pd.Series:
-        nets: dict = {}
+    def digits(parts: Column, base: int, width: int) -> Column:
+        return F.array_join(F.transform(parts, lambda x: F.lpad(F.conv(x, base, 2), width, "0")), "")
 
-        def one(x, n):
-            if x is None or n is None:
-                return None
-            if n not in nets:
-                nets[n] = ipaddress.ip_network(n, strict=False)
-            address = ipaddress.ip_address(x)
-            return address.version == nets[n].version and address in nets[n]
+    def groups(part: Column) -> Column:
+        return F.array_remove(F.split(part, ":"), "")
 
-        return pd.Series([one(x, n) for x, n in zip(a, b)], dtype=object)
+    halves = F.split(ip, "::")
+    head, tail = groups(F.get(halves, F.lit(0))), groups(F.coalesce(F.get(halves, F.lit(1)), F.lit("")))
+    missing = 8 - F.size(head) - F.size(tail)
+    fits = F.when(F.size(halves) == 2, missing >= 1).otherwise((F.size(halves) == 1) & (missing == 0))
+    six = F.concat(digits(head, 16, 16), F.repeat(F.lit("0"), missing * 16), digits(tail, 16, 16))
+    wrong = F.raise_error(F.concat(F.lit("not an address: "), ip)).cast("string")
+    return F.when(ip.rlike(V4), digits(F.split(ip, r"\."), 10, 8)).when(ip.contains(":") & ip.rlike(V6) & fits, six).when(ip.isNotNull(), wrong)
 
-    return f(ip, cidr)
+
+def in_network(ip: Column, cidr: Column) -> Column:
+    """ip << cidr, for IPv4 and IPv6, in the JVM; null if either is null, an error if either is malformed."""
+    a, b = bits(ip), bits(F.split_part(cidr, F.lit("/"), F.lit(1)))
+    size = F.nullif(F.split_part(cidr, F.lit("/"), F.lit(2)), F.lit("")).cast("int")
+    size = F.coalesce(size, F.char_length(b))
+    same = (F.char_length(a) == F.char_length(b)) & (F.substr(a, F.lit(1), size) == F.substr(b, F.lit(1), size))
+    return F.when(a.isNotNull() & b.isNotNull(), same)
 
 
 def in_network4(ip: Column, cidr: str) -> Column:
@@ -38,36 +49,19 @@ def in_network4(ip: Column, cidr: str) -> Column:
     return number.bitwiseAND(F.lit(int(net.netmask))) == F.lit(int(net.network_address))
 
 
-def parse_ident(s: Column, strict: bool = True) -> Column:
-    """The parts of a dotted identifier: unquoted ones lower-cased, quoted ones as they are; strict rejects what follows."""
+PART = r'\s*+(?:"(?:[^"]|"")+"|[\p{L}_][\p{L}\p{N}_$]*+)\s*+'
 
-    @F.pandas_udf("array<string>")
-    def f(x: pd.Series) -> pd.Series:
-        import re
-
-        token = re.compile(r'\s*(?:"((?:[^"]|"")+)"|([^\W\d][\w$]*))\s*')
-
-        def one(t):
-            if t is None:
-                return None
-            out, at = [], 0
-            while True:
-                m = token.match(t, at)
-                if not m:
-                    raise ValueError(f"not a valid identifier: {t}")
-                out.append(m[1].replace('""', '"') if m[1] is not None else m[2].lower())
-                at = m.end()
-                if at == len(t):
-                    return out
-                if t[at] != ".":
-                    if strict:
-                        raise ValueError(f"not a valid identifier: {t}")
-                    return out
-                at += 1
-
-        return x.map(one)
 
-    return f(s)
+def parse_ident(s: Column, strict: bool = True) -> Column:
+    """The parts of a dotted identifier, in the JVM: unquoted ones lower-cased, quoted ones as they are; strict rejects
+    what follows."""
+    names = rf"^{PART}(?:\.{PART})*"
+    whole = F.regexp_extract(s, names, 0)
+    fits = s.rlike(names + "$" if strict else names)
+    parts = F.transform(F.regexp_extract_all(whole, F.lit(PART), F.lit(0)), F.trim)
+    bare = F.transform(parts, lambda x: F.when(x.startswith('"'), F.replace(F.substr(x, F.lit(2), F.char_length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(F.lower(x)))
+    wrong = F.raise_error(F.concat(F.lit("not a valid identifier: "), s)).cast("array<string>")
+    return F.when(fits, bare).when(s.isNotNull(), wrong)
 
 
 IV = (0x6A09E667, 0xBB67AE85, 0x3C6EF372, 0xA54FF53A, 0x510E527F, 0x9B05688C, 0x1F83D9AB, 0x5BE0CD19)

@@ -6,10 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def one_each(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row for each key: of different ones that of the least hash."""
+    rest = [c for c in rows.columns if c not in key]
+    if not rest:
+        return rows.distinct()
+    picked = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.xxhash64(*rest)).alias("_row"))
+    return picked.select(*[F.col(c) if c in key else F.col("_row").getField(c).alias(c) for c in rows.columns])
+
+
 def insert_on_conflict(target: DataFrame, rows: DataFrame, key: list[str], update: dict[str, Column] | None = None) -> DataFrame:
     """INSERT .. ON CONFLICT: rows whose key exists are dropped (update None), or change the named columns by expressions
-    over target's columns and excluded (a struct of the new row). Of rows with equal keys one is inserted."""
-    fresh = rows.dropDuplicates(key)
+    over target's columns and excluded (a struct of the new row). Of rows with equal keys one counts, the same whatever
+    the order of rows: that of the least hash."""
+    fresh = one_each(rows, key)
     new = fresh.join(target.select(*key), key, "left_anti").select(*target.columns)
     if not update:
         return target.unionByName(new)
@@ -36,11 +46,13 @@ def update_returning(target: DataFrame, where: Column, assign: dict[str, Column]
 
 def insert_returning(target: DataFrame, rows: DataFrame, key: list[str], *out: str | Column) -> DataFrame:
     """RETURNING of an INSERT .. ON CONFLICT DO NOTHING: expressions over the rows that went in."""
-    return rows.dropDuplicates(key).join(target.select(*key), key, "left_anti").select(*target.columns).select(*(out or target.columns))
+    return one_each(rows, key).join(target.select(*key), key, "left_anti").select(*target.columns).select(*(out or target.columns))
 
 
 def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    """Write df over the table at path, although df reads it: first beside it, then by renames."""
+    """Write df over the table at path, although df reads it: first beside it, then by renames. Between the two renames
+    readers find no table, and a crash there leaves it beside (recover() puts it back); where that matters, or where
+    renames are not atomic, as in object stores, use put_version() and read_version()."""
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at, new, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in ("", ".new", ".old"))
@@ -54,6 +66,42 @@ def replace_table(df: DataFrame, path: str, partition_by: list[str] | None = Non
     fs.delete(old, True)
 
 
+def recover(spark: SparkSession, path: str) -> bool:
+    """After a crash of replace_table(): puts the old table back if there is none at path."""
+    at, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + s) for s in ("", ".old"))
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return not fs.exists(at) and fs.exists(old) and fs.rename(old, at)
+
+
+def _versions(spark: SparkSession, root: str) -> tuple[object, list[int]]:
+    """The file system of root and the numbers of the versions that are whole: those with Spark's mark of success."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [x.getPath() for x in fs.listStatus(at)] if fs.exists(at) else []
+    done = [p for p in folders if p.getName().startswith("v") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return fs, sorted(int(p.getName()[1:]) for p in done)
+
+
+def put_version(df: DataFrame, root: str, keep: int = 2) -> int:
+    """Write df as the next version of the table at root, in a folder of its own that counts once it is whole (Spark writes
+    its mark last), so that readers always find a table and nothing is renamed. Older versions beyond keep go."""
+    spark = df.sparkSession
+    fs, known = _versions(spark, root)
+    number = known[-1] + 1 if known else 0
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{root}/v{number}")
+    for old in known[: max(len(known) + 1 - keep, 0)]:
+        fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/v{old}"), True)
+    return number
+
+
+def read_version(spark: SparkSession, root: str) -> DataFrame:
+    """The newest whole version of the table at root."""
+    _, known = _versions(spark, root)
+    if not known:
+        raise FileNotFoundError(root)
+    return spark.read.parquet(f"{root}/v{known[-1]}")
+
+
 def delete_partitions(spark: SparkSession, path: str, column: str, values: list) -> None:
     """DELETE by partition value: folders go, no file is rewritten."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -67,10 +115,11 @@ def optimize(spark: SparkSession, path: str, files: int) -> None:
     replace_table(spark.read.parquet(path).repartition(files), path)
 
 
-def create_table_as(df: DataFrame, name: str, bucket_by: list[str] | None = None, buckets: int = 8, partition_by: list[str] | None = None) -> None:
+def create_table_as(df: DataFrame, name: str, bucket_by: list[str] | None = None, buckets: int = 8, partition_by: list[str] | None = None, path: str | None = None) -> None:
     """CREATE TABLE AS, clustered (bucketed: joins and aggregates on these columns need no shuffle) and partitioned."""
     w = df.write.mode("overwrite").format("parquet")
     w = w.bucketBy(buckets, *bucket_by).sortBy(*bucket_by) if bucket_by else w
+    w = w.option("path", path) if path else w
     (w.partitionBy(*partition_by) if partition_by else w).saveAsTable(name)
 
 

@@ -76,22 +76,37 @@ def anti(a: DataFrame, b: DataFrame, on: object) -> DataFrame:
 
 def not_in(a: DataFrame, key: str, values: DataFrame) -> DataFrame:
     """NOT IN (subquery): nothing is kept if values holds a null, null keys are kept only if values is empty."""
-    a.createOrReplaceTempView("_not_in_a")
-    values.toDF("v").createOrReplaceTempView("_not_in_v")
-    return a.sparkSession.sql(f"select * from _not_in_a where {key} not in (select v from _not_in_v)")
+    return a.sparkSession.sql(f"select * from {{a}} where {key} not in (select v from {{b}})", a=a, b=values.toDF("v"))
+
+
+NEGATED = {"=": "<>", "<>": "=", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}
+
+
+def any_of(df: DataFrame, key: Column, op: str, values: DataFrame, name: str) -> DataFrame:
+    """df with name: key op ANY (subquery), unknown where no known value decides it and a null might. Only an extreme and
+    the number of nulls count, from one aggregated row; for = the values are joined."""
+    v = values.toDF("_v")
+    row = v.agg(F.count("*").alias("_n"), F.count("_v").alias("_known"), F.max("_v").alias("_max"), F.min("_v").alias("_min"))
+    out, lo, hi = df.withColumn("_key", key), F.col("_min"), F.col("_max")
+    if op == "=":
+        out = out.join(v.where("_v is not null").distinct().withColumn("_hit", F.lit(True)), F.col("_key") == F.col("_v"), "left").drop("_v")
+    k = F.col("_key")
+    hit = {"=": lambda: F.col("_hit"), "<>": lambda: (k != lo) | (k != hi), ">": lambda: k > lo, ">=": lambda: k >= lo, "<": lambda: k < hi, "<=": lambda: k <= hi}[op]()
+    told = F.when(F.col("_n") == 0, False).when(hit, True).when(k.isNull() | (F.col("_known") < F.col("_n")), F.lit(None).cast("boolean")).otherwise(False)
+    return out.crossJoin(F.broadcast(row)).select(*df.columns, told.alias(name))  # one row
+
+
+def all_of(df: DataFrame, key: Column, op: str, values: DataFrame, name: str) -> DataFrame:
+    """df with name: key op ALL (subquery), which is not (key negated-op ANY)."""
+    out = any_of(df, key, NEGATED[op], values, name)
+    return out.select(*df.columns, (~F.col(name)).alias(name))
 
 
 def compare_all(df: DataFrame, key: Column, op: str, values: DataFrame) -> DataFrame:
-    """key op ALL (subquery), from one aggregated row: for the ordering operators only an extreme and the nulls count."""
-    v = values.toDF("v").agg(F.count("*").alias("_n"), F.count("v").alias("_known"), F.max("v").alias("_max"), F.min("v").alias("_min"))
-    bound = {">": "_max", ">=": "_max", "<": "_min", "<=": "_min"}[op]
-    test = {">": key > F.col(bound), ">=": key >= F.col(bound), "<": key < F.col(bound), "<=": key <= F.col(bound)}[op]
-    joined = df.crossJoin(F.broadcast(v))  # one row
-    return joined.where((F.col("_n") == 0) | ((F.col("_n") == F.col("_known")) & test)).select(*df.columns)
+    """WHERE key op ALL (subquery)."""
+    return all_of(df, key, op, values, "_told").where("_told").select(*df.columns)
 
 
 def compare_any(df: DataFrame, key: Column, op: str, values: DataFrame) -> DataFrame:
-    """key op ANY (subquery), likewise."""
-    v = values.toDF("v").agg(F.max("v").alias("_max"), F.min("v").alias("_min"))
-    test = {">": key > F.col("_min"), ">=": key >= F.col("_min"), "<": key < F.col("_max"), "<=": key <= F.col("_max")}[op]
-    return df.crossJoin(F.broadcast(v)).where(test).select(*df.columns)  # one row
+    """WHERE key op ANY (subquery)."""
+    return any_of(df, key, op, values, "_told").where("_told").select(*df.columns)

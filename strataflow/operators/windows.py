@@ -28,6 +28,13 @@ def count_distinct(value: Column, w: WindowSpec) -> Column:
     return F.size(F.collect_set(value).over(w)).cast("long")
 
 
+def count_distinct_whole(value: Column, by: list[str]) -> Column:
+    """count(DISTINCT value) OVER (PARTITION BY by): ranks from both ends, so that no row carries a set of values."""
+    w = Window.partitionBy(*by)
+    both = F.dense_rank().over(w.orderBy(value.asc_nulls_first())) + F.dense_rank().over(w.orderBy(value.desc_nulls_last()))
+    return (both - 1 - F.max(value.isNull().cast("int")).over(w)).cast("long")
+
+
 def lag(value: str, n: int = 1, default: object = None, ignore_nulls: bool = False) -> str:
     """As SQL text, which has IGNORE NULLS."""
     tail = " ignore nulls" if ignore_nulls else ""

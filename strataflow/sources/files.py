@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -26,8 +27,7 @@ def _read(spark, paths, schema, format, header, delimiter, skip, empty_string_as
     if kind == "csv":
         reader = reader.option("header", header).option("sep", delimiter).option("quote", '"').option("escape", '"').option("nullValue", "" if empty_string_as_null else "\0").option("emptyValue", "").option("enforceSchema", True)
         if skip:
-            lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split("value", "\r?\n")).alias("_n", "line"))
-            lines = lines.where(f"_n >= {skip + header} and line <> ''")
+            lines = _after_first_lines(spark, paths, skip + header).where("line <> ''")
             options = {"sep": delimiter, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": BROKEN, "mode": "FAILFAST" if fail_fast else "PERMISSIVE"}
             rows = lines.select("_file", F.from_csv("line", whole.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r")).select("_file", "r.*")
             return rows.where(F.col(BROKEN).isNull()).drop(BROKEN, "_file"), rows
@@ -35,6 +35,26 @@ def _read(spark, paths, schema, format, header, delimiter, skip, empty_string_as
     return rows.where(F.col(BROKEN).isNull()).drop(BROKEN, "_file"), rows
 
 
+def _after_first_lines(spark: SparkSession, paths: list[str], n: int) -> DataFrame:
+    """(_file, line) without the first n lines of each file. Files are read in blocks as ever; lines are counted only in a
+    file's first block, which has to hold all n. Values with line breaks are not supported here."""
+    rows = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("line"))
+
+    def run(batches):
+        at, seen = None, 0
+        for b in batches:
+            keep = []
+            for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if (file, start) != at:
+                    at, seen = (file, start), 0
+                seen += 1
+                keep.append(start > 0 or seen > n)
+            yield b.filter(pa.array(keep, pa.bool_())).select([0, 2])
+
+    out = rows.mapInArrow(run, "_file string, line string")
+    return out.select("_file", F.regexp_replace("line", "\r$", "").alias("line"))
+
+
 def copy_summary(spark: SparkSession, paths: str | list[str], schema: StructType | str, format: str | None = None, *, header: bool = True, delimiter: str = ",") -> DataFrame:
     """RETURN SUMMARY: (uri, success_count, error_count) by file."""
     _, rows = _read(spark, paths, schema, format, header, delimiter, 0, False, False)
@@ -51,8 +71,9 @@ def copy_to(df: DataFrame, folder: str, format: str = "json_object", compression
     seen = Observation()
     out = df.observe(seen, F.count(F.lit(1)).alias("n"))
     if format == "json_array":
-        # values of any type keep their own JSON form; nulls stay
-        one = F.regexp_replace(F.concat_ws(",", *[F.coalesce(F.regexp_replace(F.to_json(F.struct(F.col(c).alias("v"))), r'^\{"v":([\s\S]*)\}$', "$1"), F.lit("null")) for c in df.columns]), r"(^|,)\{\}(?=,|$)", "$1null")
+        # the JSON of a value, nulls and empty objects included, is that of {"v":value} without its frame
+        framed = [F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}) for c in df.columns]
+        one = F.concat_ws(",", *[F.substr(x, F.lit(6), F.char_length(x) - 6) for x in framed])
         w = out.select(F.concat(F.lit("["), one, F.lit("]")).alias("value")).write
         w = w.option("compression", compression) if compression else w
         w.text(folder)
