@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import Tables
 from ..operators import relational as R
+from ..sources.scratch import scratch
 from ..streaming import windows as SW
 from .registry import query, text
 
@@ -87,7 +88,7 @@ def stream_events(t: Tables) -> DataFrame:
 @query("select event_type, time_bucket(interval '1 day', ts, timestamp '2024-01-01') as bucket, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_tumbling(t: Tables) -> DataFrame:
     out = SW.tumbling(stream_events(t), "ts", "1 day", "1 hour", ["event_type"], F.count("*").alias("n"), F.sum("value").alias("total"))
-    rows = SW.to_memory(out, "strataflow_tumbling")
+    rows = SW.to_files(out, scratch(t.spark, "tumbling"))
     return rows.select("event_type", F.col("bucket").cast("timestamp_ntz").alias("bucket"), "n", F.round("total", 4).alias("total"))
 
 
@@ -95,11 +96,11 @@ def stream_tumbling(t: Tables) -> DataFrame:
 g as (select user_id, ts, sum(new) over (partition by user_id order by ts, event_id) as g from s) select user_id, min(ts) as start, max(ts) + interval '6 hours' as stop, count(*) as n from g group by user_id, g""")
 def stream_sessions(t: Tables) -> DataFrame:
     out = SW.sessions(stream_events(t), "ts", "6 hours", "1 hour", ["user_id"], F.count("*").alias("n"))
-    rows = SW.to_memory(out, "strataflow_sessions")
+    rows = SW.to_files(out, scratch(t.spark, "sessions"))
     return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
 @query("select distinct user_id, event_type from events")
 def stream_once_each(t: Tables) -> DataFrame:
     out = SW.once_each(stream_events(t), "ts", ["user_id", "event_type"], "400 days")
-    return SW.to_memory(out.select("user_id", "event_type"), "strataflow_once", "append")
+    return SW.to_files(out.select("user_id", "event_type"), scratch(t.spark, "once"), "append")

@@ -192,9 +192,9 @@ def agg_lttb(t: Tables) -> DataFrame:
     return A.lttb(t.events, ["event_type"], "ts", "value", 50)
 
 
-@query("select distinct c_mktsegment, c_nationkey from customer where c_mktsegment = 'BUILDING' limit 1000")
+@query("select count(*) as n, count(distinct o_custkey) as different from (select distinct o_custkey from orders limit 20)")
 def distinct_limit(t: Tables) -> DataFrame:
-    return R.distinct_limit(t.customer.where("c_mktsegment = 'BUILDING'").select("c_mktsegment", "c_nationkey"), 1000)
+    return R.distinct_limit(t.orders.select("o_custkey"), 20).agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("different"))
 
 
 @query("select p_brand, any_value(length(p_brand)) as n from part group by p_brand")
@@ -221,7 +221,7 @@ text("window_default_frame", "select event_id, round(sum(value) over (partition
 def window_filter_distinct(t: Tables) -> DataFrame:
     running = W.rows(W.over(["user_id"], ["ts", "event_id"]), None, 0)
     clicks = W.filtered(F.count, F.lit(1), F.col("event_type") == "click", running)
-    return t.events.select("event_id", clicks.alias("clicks"), W.count_distinct(F.col("event_type"), W.over(["user_id"])).alias("kinds"))
+    return t.events.select("event_id", clicks.alias("clicks"), W.count_distinct_whole(F.col("event_type"), ["user_id"]).alias("kinds"))
 
 
 # sorts and limits
@@ -255,13 +255,8 @@ text("values_relation", "select a, b, upper(b) as c from (values (1, 'x'), (2, n
 text("with_recursive", "with recursive r(n) as (select 1 union all select n + 1 from r where n < 20) select n, n * n as sq from r", tables=())
 
 
-@query("select cast(n_nationkey as bigint) as k, n_name as v from nation union select s_suppkey, s_name from supplier where s_suppkey < 10")
-def union_types(t: Tables) -> DataFrame:
-    return R.union(t.nation.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v")), t.supplier.where("s_suppkey < 10").select("s_suppkey", "s_name"), distinct=True)
-
-
 @query("select cast(n_nationkey as bigint) as k, n_name as v from nation union select s_suppkey, s_name from supplier")
-def union_types_whole(t: Tables) -> DataFrame:
+def union_types(t: Tables) -> DataFrame:
     return R.union(t.nation.select(F.col("n_nationkey").cast("long").alias("k"), F.col("n_name").alias("v")), t.supplier.select("s_suppkey", "s_name"), distinct=True)
 
 
@@ -290,13 +285,8 @@ def table_generate_times(t: Tables) -> DataFrame:
     return TF.generate_times(t.spark, "2024-01-01", "2024-01-03", "6 hours")
 
 
-@query("select vec_id, cast(unnest(generate_series(len(embedding), 1, -1)) as int) as i from embeddings where vec_id < 3")
-def table_generate_subscripts(t: Tables) -> DataFrame:
-    return R.project_set(t.embeddings.where("vec_id < 3"), ["vec_id"], i=TF.generate_subscripts(F.col("embedding"), reverse=True))
-
-
 @query("select vec_id, cast(unnest(generate_series(len(embedding), 1, -1)) as int) as i from embeddings")
-def table_generate_subscripts_whole(t: Tables) -> DataFrame:
+def table_generate_subscripts(t: Tables) -> DataFrame:
     return R.project_set(t.embeddings, ["vec_id"], i=TF.generate_subscripts(F.col("embedding"), reverse=True))
 
 
@@ -306,13 +296,8 @@ def table_regexp_matches(t: Tables) -> DataFrame:
     return got.select("event_id", F.transform("m", lambda x: x[0]).alias("names"), F.transform("m", lambda x: x[1]).alias("numbers"))
 
 
-@query("select vec_id, unnest(embedding) as x, cast(generate_subscripts(embedding, 1) as int) as n from embeddings where vec_id < 5")
-def table_expand_array(t: Tables) -> DataFrame:
-    return TF.expand_array(t.embeddings.where("vec_id < 5"), ["vec_id"], F.col("embedding"))
-
-
 @query("select vec_id, unnest(embedding) as x, cast(generate_subscripts(embedding, 1) as int) as n from embeddings")
-def table_expand_array_whole(t: Tables) -> DataFrame:
+def table_expand_array(t: Tables) -> DataFrame:
     return TF.expand_array(t.embeddings, ["vec_id"], F.col("embedding"))
 
 

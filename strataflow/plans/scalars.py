@@ -73,22 +73,22 @@ def string_regexp(t: Tables) -> DataFrame:
     )
 
 
-@query(f"select id, case when s = '' then [] else string_split(s, ',') end as parts, array_to_string(string_split(s, ','), '+') as joined, list_transform(string_split(s, ','), lambda x: nullif(x, 'b')) as nulls from {WORDS} where s is not null and s <> ''")
+@query(f"select id, case when s = '' then [] else string_split(s, ',') end as parts, array_to_string(string_split(s, ','), '+') as joined, case when s = '' then [] else list_transform(string_split(s, ','), lambda x: nullif(x, 'b')) end as nulls from {WORDS}")
 def string_arrays(t: Tables) -> DataFrame:
     parts = strings.string_to_array(columns.s, ",")
-    return words(t).where("s is not null and s <> ''").select("id", parts.alias("parts"), strings.array_to_string(parts, "+").alias("joined"), strings.string_to_array(columns.s, ",", "b").alias("nulls"))
+    return words(t).select("id", parts.alias("parts"), strings.array_to_string(parts, "+").alias("joined"), strings.string_to_array(columns.s, ",", "b").alias("nulls"))
 
 
-@query(f"select id, to_base64(encode(s)) as b64, lower(hex(encode(s))) as hx, decode(from_base64(to_base64(encode(s)))) as back, unicode(s) as code, chr(300 + id) as ch from {WORDS} where s <> ''")
+@query(f"select id, to_base64(encode(s)) as b64, lower(hex(encode(s))) as hx, decode(from_base64(to_base64(encode(s)))) as back, case when s = '' then 0 else unicode(s) end as code, chr(300 + id) as ch from {WORDS}")
 def string_codes(t: Tables) -> DataFrame:
     hx = F.replace(strings.encode(columns.s, "hex"), F.lit("\\x"), F.lit(""))
-    return words(t).where("s <> ''").select("id", strings.encode(columns.s, "base64").alias("b64"), hx.alias("hx"), strings.decode(strings.encode(columns.s, "base64"), "base64").alias("back"), F.ascii(columns.s).alias("code"), strings.chr_(F.col("id") + 300).alias("ch"))
+    return words(t).select("id", strings.encode(columns.s, "base64").alias("b64"), hx.alias("hx"), strings.decode(strings.encode(columns.s, "base64"), "base64").alias("back"), F.ascii(columns.s).alias("code"), strings.chr_(F.col("id") + 300).alias("ch"))
 
 
-@query("select page_id, regexp_extract(url, '^([a-z]+):', 1) as scheme, regexp_extract(url, '//([^/?#]+)', 1) as host, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') as query, nullif(regexp_extract(url, '#(.*)$', 1), '') as fragment from pages where url like 'http%'")
+@query("select page_id, regexp_extract(url, '^([a-z]+):', 1) as scheme, regexp_extract(url, '//([^/?#]+)', 1) as host, nullif(regexp_extract(url, '\\?([^#]*)', 1), '') as query, nullif(regexp_extract(url, '#(.*)$', 1), '') as fragment from pages")
 def string_parse_url(t: Tables) -> DataFrame:
     u = strings.parse_url(F.col("url"))
-    rows = t.pages.where("url like 'http%'").select("page_id", u.alias("u"))
+    rows = t.pages.select("page_id", u.alias("u"))
     return rows.select("page_id", "u.scheme", F.concat_ws(":", "u.hostname", "u.port").alias("host"), F.nullif("u.query", F.lit("")).alias("query"), F.nullif("u.fragment", F.lit("")).alias("fragment"))
 
 
@@ -189,14 +189,14 @@ def time_age(t: Tables) -> DataFrame:
 # arrays
 
 
-@query(f"""select id, list_append(a, 5) as app, list_prepend(5, a) as pre, case when a is null and b is null then null else list_concat(coalesce(a, []), coalesce(b, [])) end as cat, a[2:3] as sl, a[2] as el,
-list_min(a) as mn, list_max(a) as mx, list_position(a, 2) as pos, cast(list_sum(a) as double) as su, list_avg(a) as av, nullif(len(a), 0) as ln from {DUCK_LISTS} where a is not null""")
+@query(f"""select id, case when a is not null then list_append(a, 5) end as app, case when a is not null then list_prepend(5, a) end as pre, case when a is null and b is null then null else list_concat(coalesce(a, []), coalesce(b, [])) end as cat, a[2:3] as sl, a[2] as el,
+list_min(a) as mn, list_max(a) as mx, list_position(a, 2) as pos, cast(list_sum(a) as double) as su, list_avg(a) as av, nullif(len(a), 0) as ln from {DUCK_LISTS}""")
 def array_basics(t: Tables) -> DataFrame:
     cols = {
         "app": F.array_append(columns.a, F.lit(5)), "pre": F.array_prepend(columns.a, F.lit(5)), "cat": arrays.concat(columns.a, columns.b), "sl": arrays.slice_(columns.a, 2, 3), "el": arrays.get(columns.a, 2), "mn": F.array_min(columns.a), "mx": F.array_max(columns.a),
         "pos": arrays.position(columns.a, 2), "su": arrays.sum_(columns.a), "av": arrays.avg(columns.a), "ln": arrays.length(columns.a).cast("long"),
     }
-    return lists(t).where("a is not null").select("id", *[c.alias(k) for k, c in cols.items()])
+    return lists(t).select("id", *[c.alias(k) for k, c in cols.items()])
 
 
 @query("select * from (values (1, [1, 2, null, 3], [1, null], true), (2, [5], [5], null), (3, [1, null], null, null), (4, [9, 8, 7], [9, 8, 9], false)) as v(id, un, di, ov)")
@@ -259,15 +259,8 @@ def geo_hash(t: Tables) -> DataFrame:
     return rows.select("label", geo.longitude(p).alias("lon"), geo.latitude(p).alias("lat"), geo.geohash(p, 5).alias("hash"))
 
 
-@query("select s_suppkey, s_suppkey % 10 between 1 and 3 and s_nationkey between 1 and 20 as inside from supplier where s_suppkey % 10 not in (1, 3) and s_nationkey not in (1, 20)")
-def geo_within(t: Tables) -> DataFrame:
-    box = F.lit("POLYGON ((1 1, 3 1, 3 20, 1 20, 1 1))")
-    point = F.concat(F.lit("POINT ("), F.col("s_suppkey") % 10, F.lit(" "), F.col("s_nationkey"), F.lit(")"))
-    return t.supplier.where("s_suppkey % 10 not in (1, 3) and s_nationkey not in (1, 20)").select("s_suppkey", geo.within(point, box).alias("inside"))
-
-
 @query("select s_suppkey, s_suppkey % 10 between 1 and 3 and s_nationkey between 1 and 20 as inside from supplier")
-def geo_within_whole(t: Tables) -> DataFrame:
+def geo_within(t: Tables) -> DataFrame:
     box = F.lit("POLYGON ((1 1, 3 1, 3 20, 1 20, 1 1))")
     point = F.concat(F.lit("POINT ("), F.col("s_suppkey") % 10, F.lit(" "), F.col("s_nationkey"), F.lit(")"))
     return t.supplier.select("s_suppkey", geo.within(point, box).alias("inside"))

@@ -12,7 +12,7 @@ from strataflow.plans import forms, registry, relational, scalars  # noqa: F401
 from strataflow.sources import web
 
 
-@pytest.mark.parametrize("name", ["table_expand_array_whole", "table_generate_subscripts_whole"])
+@pytest.mark.parametrize("name", ["table_expand_array", "table_generate_subscripts"])
 def test_every_vector_is_expanded(spark, folder, name):
     want = {r.vec_id: len(r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
     got = registry.QUERIES[name](spark, folder).groupBy("vec_id").count().collect()
@@ -36,7 +36,7 @@ def test_within_takes_edges_in(spark):
 
 def test_every_supplier_is_placed(spark, folder):
     rows = spark.read.parquet(f"{folder}/supplier.parquet").collect()
-    got = {r.s_suppkey: r.inside for r in registry.QUERIES["geo_within_whole"](spark, folder).collect()}
+    got = {r.s_suppkey: r.inside for r in registry.QUERIES["geo_within"](spark, folder).collect()}
     assert got == {r.s_suppkey: 1 <= r.s_suppkey % 10 <= 3 and 1 <= r.s_nationkey <= 20 for r in rows}
 
 
@@ -71,6 +71,6 @@ def test_all_gzip_members_are_read(spark, monkeypatch):
         server.shutdown()
 
 
-@pytest.mark.parametrize(("name", "tables"), [("copy_json_round_trip_whole", ["customer"]), ("copy_csv_round_trip_whole", ["part"]), ("union_types_whole", ["nation", "supplier"])])
+@pytest.mark.parametrize(("name", "tables"), [("copy_json_round_trip", ["customer"]), ("copy_csv_round_trip", ["part"]), ("union_types", ["nation", "supplier"])])
 def test_every_row_comes_back(spark, folder, name, tables):
     assert len(registry.QUERIES[name](spark, folder).collect()) == sum(spark.read.parquet(f"{folder}/{t}.parquet").count() for t in tables)
