@@ -98,6 +98,13 @@ def flatten(a: Column) -> Column:
     return F.flatten(F.filter(a, lambda x: x.isNotNull()))
 
 
+def avg_numeric(a: Column, digits: int = 12) -> Column:
+    """The average of decimals, with so many digits after the point; nulls left out, null if there is nothing else."""
+    known = F.filter(a, lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0).cast(f"decimal(38,{digits})"), lambda s, x: (s + x).cast(f"decimal(38,{digits})"))
+    return F.when(F.size(known) > 0, (total / F.nullif(F.size(known), F.lit(0)).cast("decimal(10,0)")).cast(f"decimal(38,{digits})"))
+
+
 def count(a: Column) -> Column:
     return F.when(a.isNotNull(), F.size(a).cast("long"))
 

@@ -36,5 +36,21 @@ def create_function(spark: SparkSession, name: str, body: object, returns: str,
         spark.udf.register(name, F.pandas_udf(body, returns))
 
 
+def create_aggregate(spark: SparkSession, name: str, body: object, returns: str) -> None:
+    """CREATE AGGREGATE: a Python function from pandas Series (one for each argument) to a value. A group of such an
+    aggregate is held whole by one task; where built-in aggregates can be composed, compose them."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.pandas.functions import PandasUDFType
+
+    spark.udf.register(name, F.pandas_udf(body, returns, PandasUDFType.GROUPED_AGG))
+
+
+def create_table_function(spark: SparkSession, name: str, handler: type, returns: str) -> None:
+    """CREATE FUNCTION .. RETURNS TABLE: a class whose eval yields rows for its arguments."""
+    from pyspark.sql import functions as F
+
+    spark.udtf.register(name, F.udtf(handler, returnType=returns))
+
+
 def drop_function(spark: SparkSession, name: str) -> None:
     spark.sql(f"drop temporary function if exists {name}")

@@ -194,3 +194,21 @@ def to_char(ts: Column, template: str) -> Column:
 
     tokens = re.split("(" + "|".join(sorted(TO_CHAR, key=len, reverse=True)) + ")", template)
     return F.date_format(ts, "".join(TO_CHAR.get(t) or ("'" + t.replace("'", "''") + "'" if re.search("[A-Za-z']", t) else t) for t in tokens))
+
+
+def to_char_number(x: Column, template: str) -> Column:
+    """A number by a PostgreSQL-style template of 9, 0, D, G, S, L, PR and MI."""
+    return F.to_char(x, F.lit(template))
+
+
+def to_char_interval(months: Column, micros: Column, template: str) -> Column:
+    """A mixed interval by a template of YYYY, MM, DD, HH24, HH12, MI, SS and MS; other characters stand for themselves."""
+    import re
+
+    day, hour, minute, second = 86_400_000_000, 3_600_000_000, 60_000_000, 1_000_000
+    parts = {
+        "YYYY": (F.floor(months / 12), 4), "MM": (months % 12, 2), "DD": (F.floor(micros / day), 2), "HH24": (F.floor(micros / hour) % 24, 2), "HH12": ((F.floor(micros / hour) + 11) % 12 + 1, 2),
+        "MI": (F.floor(micros / minute) % 60, 2), "SS": (F.floor(micros / second) % 60, 2), "MS": (F.floor(micros / 1000) % 1000, 3),
+    }
+    tokens = [t for t in re.split("(" + "|".join(sorted(parts, key=len, reverse=True)) + ")", template) if t]
+    return F.concat(*[F.lpad(parts[t][0].cast("string"), parts[t][1], "0") if t in parts else F.lit(t) for t in tokens])

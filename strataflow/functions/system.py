@@ -49,12 +49,37 @@ def pg_encoding_to_char(code: Column) -> Column:
 
 
 def description() -> Column:
-    """obj_description, col_description, pg_get_expr, pg_get_partkeydef, pg_get_serial_sequence: nothing is known."""
+    """obj_description, col_description: nothing is known."""
     return F.lit(None).cast("string")
 
 
-def has_privilege() -> Column:
-    """has_table_privilege, has_schema_privilege, has_database_privilege, has_function_privilege; also visibility."""
+pg_get_expr = pg_get_partkeydef = pg_get_serial_sequence = description  # there are no such catalogue entries either
+
+
+def constraint_definition(key: list[str], check: str | None = None) -> Column:
+    """pg_get_constraintdef: of a primary key, or of a CHECK."""
+    return F.lit(f"CHECK ({check})" if check else f"PRIMARY KEY ({', '.join(key)})")
+
+
+def table_is_visible(spark: SparkSession, name: str) -> Column:
+    """pg_table_is_visible: whether the name alone finds a table or view."""
+    return F.lit(spark.catalog.tableExists(name))
+
+
+def function_is_visible(spark: SparkSession, name: str) -> Column:
+    return F.lit(spark.catalog.functionExists(name))
+
+
+#: Privileges by what they are granted on.
+PRIVILEGES = {"table": ("select", "insert", "update", "delete"), "schema": ("create", "usage"), "database": ("create", "connect", "temporary", "temp"), "function": ("execute",)}
+
+
+def has_privilege(kind: str = "table", names: str = "select") -> Column:
+    """has_table_privilege, has_schema_privilege, has_database_privilege, has_function_privilege: granted to the one user
+    there is; names of privileges (by commas) that the kind does not have raise."""
+    for name in names.lower().split(","):
+        if name.strip() not in PRIVILEGES[kind]:
+            raise ValueError(f"unrecognized privilege {name.strip()}")
     return F.lit(True)
 
 

@@ -64,6 +64,11 @@ def date_format(ts: Column, pattern: str = "%Y-%m-%dT%H:%i:%s.%fZ", zone: str |
     return F.date_format(ts, "".join(out))
 
 
+def current_time() -> Column:
+    """The time of day, in microseconds since midnight of the session's zone."""
+    return micros(F.localtimestamp()) % 86_400_000_000
+
+
 def timezone(zone: str, ts: Column, has_zone: bool) -> Column:
     """AT TIME ZONE: an instant to local time, or a local time to the instant."""
     return F.from_utc_timestamp(ts, zone) if has_zone else F.to_utc_timestamp(ts, zone)

@@ -92,6 +92,20 @@ def sum_intervals(x: Column) -> Column:
     return F.struct(F.sum(x["months"]).alias("months"), F.sum(x["micros"]).alias("micros"))
 
 
+def avg_intervals(x: Column) -> Column:
+    """Of mixed intervals: months and exact time are averaged apart; what is left of a month counts as days of a month of 30."""
+    n, months = F.nullif(F.count(x["months"]), F.lit(0)), F.sum(x["months"])
+    whole = F.floor(months / n)
+    rest = (months - whole * n) / n * 30 * 86_400_000_000
+    return F.struct(whole.alias("months"), F.floor(F.sum(x["micros"]) / n + rest).cast("long").alias("micros"))
+
+
+def sum_stable(x: Column, digits: int = 12) -> Column:
+    """A sum of doubles that does not depend on their order: each is taken to so many digits after the point and added up
+    exactly, where the compensated sum of one machine bounds the error but still depends on the order."""
+    return F.sum(x.cast(f"decimal(38,{digits})")).cast("double")
+
+
 def keep_largest_triangles(x: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
     """Places that largest-triangle-three-buckets keeps of points sorted by x (Steinarsson, 2013)."""
     n = len(x)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -73,6 +73,15 @@ class Table:
     def set_default(self, name: str, default: str | None) -> None:
         next(c for c in self.columns if c.name == name).default = default
 
+    def like(self, defaults: bool = True, checks: bool = True) -> Table:
+        """CREATE TABLE LIKE: the same columns and key, INCLUDING (or not) defaults and checks."""
+        columns = [replace(c, default=c.default if defaults else None) for c in self.columns]
+        return Table(columns, list(self.key), dict(self.checks) if checks else {}, self.policy)
+
+    def drop_check(self, name: str) -> None:
+        if self.checks.pop(name, None) is None:
+            raise ValueError(f"no constraint {name}")
+
     def show_create(self, name: str) -> str:
         parts = [f"{c.name} {c.type}" + (f" default {c.default}" if c.default else "") + (f" generated always as ({c.generated})" if c.generated else "") + " not null" * c.not_null for c in self.columns]
         parts += [f"primary key ({', '.join(self.key)})"] * bool(self.key) + [f"constraint {k} check ({v})" for k, v in self.checks.items()]

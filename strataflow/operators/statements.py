@@ -38,6 +38,33 @@ def show_create(spark: SparkSession, table: str) -> str:
     return spark.sql(f"show create table {table}").first()[0]
 
 
+def create_schema(spark: SparkSession, name: str, folder: str | None = None) -> None:
+    spark.sql(f"create schema if not exists {name}" + (f" location '{folder}'" if folder else ""))
+
+
+def drop_schema(spark: SparkSession, name: str, cascade: bool = False) -> None:
+    spark.sql(f"drop schema {name} {'cascade' if cascade else 'restrict'}")
+
+
+def drop_table(spark: SparkSession, name: str, if_exists: bool = False) -> None:
+    spark.sql(f"drop table {'if exists ' if if_exists else ''}{name}")
+
+
+def rename_table(spark: SparkSession, old: str, new: str) -> None:
+    spark.sql(f"alter table {old} rename to {new}")
+
+
+def refresh(spark: SparkSession, table: str) -> None:
+    """REFRESH TABLE: files that were written past the catalogue are seen."""
+    spark.catalog.refreshTable(table)
+
+
+def transaction(statement: str) -> None:
+    """BEGIN, COMMIT, END, SET TRANSACTION: accepted and without effect, as there are no transactions; others raise."""
+    if statement.lower().split()[0] not in ("begin", "start", "commit", "end") and not statement.lower().startswith(("set transaction", "set session characteristics")):
+        raise ValueError(f"not supported: {statement}")
+
+
 def set_(spark: SparkSession, name: str, value: str | None) -> None:
     """SET, or RESET if value is None."""
     spark.conf.unset(name) if value is None else spark.conf.set(name, value)

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
+
 #: Common English words.
 ENGLISH_STOPS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
 
@@ -60,7 +63,17 @@ def match(text: Column, query: str, operator: str = "or", kind: str = "best_fiel
     """Whether text matches: by any or all of the query's terms, as a phrase, or as a phrase with a prefix at its end.
     fuzziness: edits that a term may be away; slop: other words that a phrase may hold in all. analyzer: anything with
     tokens(Column)."""
-    tokens, words = analyzer.tokens(text), terms(query)
+    return _matched(analyzer.tokens(text), query, operator, kind, fuzziness, slop)
+
+
+def matches(text: Column, analyzer: Analyzer = ANALYZERS["standard"], **conditions: dict) -> Column:
+    """struct of a boolean for each named condition, given as match()'s arguments; the text is split once for all of them."""
+    one = F.transform(F.array(analyzer.tokens(text)), lambda t: F.struct(*[_matched(t, **{"operator": "or", "kind": "best_fields", "fuzziness": 0, "slop": 0, **c}).alias(k) for k, c in conditions.items()]))
+    return F.get(one, F.lit(0))
+
+
+def _matched(tokens: Column, query: str, operator: str, kind: str, fuzziness: int, slop: int) -> Column:
+    words = terms(query)
     if not words:
         return F.lit(False)
     if kind == "phrase" and slop:
@@ -78,22 +91,79 @@ def match(text: Column, query: str, operator: str = "or", kind: str = "best_fiel
     return out
 
 
-def search(df: DataFrame, text: str, query: str, analyzer: Analyzer = ANALYZERS["standard"], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """Matching rows with _score (BM25 over all rows of df). Corpus figures are one aggregated row, broadcast."""
+def counted(df: DataFrame, fields: list[str], words: list[str], analyzer: Analyzer) -> DataFrame:
+    """df with _len<i>, the tokens of the i-th field, and _f<i>_<k>, how often the k-th word is among them. Each text is split
+    once for all its counts; a filter on these columns would be pushed down and split it again."""
+    row = F.struct(
+        *[
+            F.get(F.transform(F.array(analyzer.tokens(F.col(c))), lambda t: F.struct(F.coalesce(F.size(t), F.lit(0)).alias("len"), *[F.coalesce(F.size(t) - F.size(F.array_remove(t, w)), F.lit(0)).alias(f"f{k}") for k, w in enumerate(words)])), F.lit(0)).alias(f"c{i}")
+            for i, c in enumerate(fields)
+        ]
+    )
+    rows = df.select(*df.columns, F.explode(F.array(row)).alias("_c"))
+    return rows.select(*df.columns, *[F.col(f"_c.c{i}.{'len' if k is None else f'f{k}'}").alias(f"_len{i}" if k is None else f"_f{i}_{k}") for i in range(len(fields)) for k in (None, *range(len(words)))])
+
+
+def search(df: DataFrame, text: str, query: str, analyzer: Analyzer = ANALYZERS["standard"], k1: float = 1.2, b: float = 0.75, keep: list[str] | None = None) -> DataFrame:
+    """Matching rows with _score (BM25 over all rows of df). With keep only these columns are returned, and each text is
+    split once: its counts are written down, then read for the corpus figures and for the scores."""
+    return search_fields(df, {text: 1.0}, query, analyzer=analyzer, k1=k1, b=b, keep=keep)
+
+
+def search_fields(
+    df: DataFrame,
+    fields: dict[str, float],
+    query: str,
+    kind: str = "best_fields",
+    operator: str = "or",
+    tie_breaker: float = 0.0,
+    minimum_should_match: int = 1,
+    zero_terms: str = "none",
+    analyzer: Analyzer = ANALYZERS["standard"],
+    k1: float = 1.2,
+    b: float = 0.75,
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """MATCH over several fields with boosts: matching rows with _score.
+
+    best_fields: the score of the best field, plus tie_breaker times those of the others; most_fields: their sum;
+    cross_fields: the fields count as one, each term scored by the field where it scores best. operator 'and' asks for all
+    terms (in one field, or with cross_fields in any), minimum_should_match for so many. A query without terms matches
+    nothing, or with zero_terms 'all' everything with score 1. Corpus figures are one aggregated row, broadcast."""
     words = list(dict.fromkeys(terms(query)))
-    # a function of a one-element array: the text is split once for all its counts
-    counted = F.transform(F.array(analyzer.tokens(F.col(text))), lambda t: F.struct(F.size(t).alias("len"), *[(F.size(t) - F.size(F.array_remove(t, w))).alias(f"f{i}") for i, w in enumerate(words)]))
-    rows = df.select(*df.columns, F.explode(counted).alias("_c"))
-    rows = rows.select(*df.columns, F.col("_c.len").alias("_len"), *[F.col(f"_c.f{i}").alias(f"_f{i}") for i in range(len(words))])
-    figures = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_f{i}") > 0).alias(f"_d{i}") for i in range(len(words))])
-    scored = rows.crossJoin(F.broadcast(figures))  # one row
-    score = F.lit(0.0)
-    for i in range(len(words)):
-        f, d = F.col(f"_f{i}"), F.col(f"_d{i}")
-        idf = F.ln(1 + (F.col("_n") - d + 0.5) / (d + 0.5))
-        score = score + idf * f / (f + k1 * (1 - b + b * F.col("_len") / F.col("_avg")))
-    # every term that occurs adds to the score; a filter on the counts would be pushed down and split each text again
-    return scored.select(*df.columns, score.alias("_score")).where("_score > 0")
+    columns = df.columns if keep is None else keep
+    if not words:
+        return df.select(*columns, F.lit(1.0).alias("_score")).where(F.lit(zero_terms == "all"))
+    rows = counted(df, list(fields), words, analyzer)
+    if keep is not None:
+        path = scratch(df.sparkSession, "counts")
+        slim = rows.select(*keep, *[c for c in rows.columns if c.startswith(("_len", "_f"))])
+        slim.write.parquet(path)
+        rows = df.sparkSession.read.schema(slim.schema).parquet(path)
+    span = [(i, k) for i in range(len(fields)) for k in range(len(words))]
+    figures = rows.agg(F.count("*").alias("_n"), *[F.avg(f"_len{i}").alias(f"_avg{i}") for i in range(len(fields))], *[F.count_if(F.col(f"_f{i}_{k}") > 0).alias(f"_d{i}_{k}") for i, k in span])
+
+    def part(i: int, k: int) -> Column:
+        f, d = F.col(f"_f{i}_{k}"), F.col(f"_d{i}_{k}")
+        return F.ln(1 + (F.col("_n") - d + 0.5) / (d + 0.5)) * f / (f + k1 * (1 - b + b * F.col(f"_len{i}") / F.nullif(F.col(f"_avg{i}"), F.lit(0.0))))
+
+    need = len(words) if operator == "and" else min(minimum_should_match, len(words))
+    boosts = list(fields.values())
+    here = [[F.col(f"_f{i}_{k}") > 0 for k in range(len(words))] for i in range(len(fields))]
+    number = lambda tests: sum((t.cast("int") for t in tests), F.lit(0))
+    if kind == "cross_fields":
+        any_field = [reduce(Column.__or__, [here[i][k] for i in range(len(fields))]) for k in range(len(words))]
+        scores = [reduce_greatest([F.coalesce(part(i, k), F.lit(0.0)) * boosts[i] for i in range(len(fields))]) for k in range(len(words))]
+        score = F.when(number(any_field) >= need, sum(scores, F.lit(0.0)))
+    else:
+        each = [F.when(number(here[i]) >= need, sum((F.coalesce(part(i, k), F.lit(0.0)) for k in range(len(words))), F.lit(0.0)) * boosts[i]).otherwise(0.0) for i in range(len(fields))]
+        total, best = sum(each, F.lit(0.0)), reduce_greatest(each)
+        score = total if kind == "most_fields" else best + tie_breaker * (total - best)
+    return rows.crossJoin(F.broadcast(figures)).select(*columns, score.alias("_score")).where("_score > 0")  # one row
+
+
+def reduce_greatest(parts: list[Column]) -> Column:
+    return F.greatest(*parts) if len(parts) > 1 else parts[0]
 
 
 def _near(word: str, edits: int):

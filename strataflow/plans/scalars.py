@@ -294,15 +294,15 @@ TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+'), l
 
 @query(f"select doc_id, list_contains({TOKENS}, 'tion') or list_contains({TOKENS}, 'onnd') as any_of, list_contains({TOKENS}, 'the') and list_contains({TOKENS}, 'of') as all_of, contains(' ' || array_to_string({TOKENS}, ' ') || ' ', ' of the ') as phrase from documents")
 def match_boolean(t: Tables) -> DataFrame:
-    x = F.col("text")
-    return t.documents.select("doc_id", T.match(x, "tion onnd").alias("any_of"), T.match(x, "the of", "and").alias("all_of"), T.match(x, "of the", kind="phrase").alias("phrase"))
+    m = T.matches(F.col("text"), any_of={"query": "tion onnd"}, all_of={"query": "the of", "operator": "and"}, phrase={"query": "of the", "kind": "phrase"})
+    return t.documents.select("doc_id", F.explode(F.array(m)).alias("m")).select("doc_id", "m.any_of", "m.all_of", "m.phrase")
 
 
 @query(f"""with d as (select doc_id, {TOKENS} as t from documents), f as (select doc_id, len(t) as n, len(list_filter(t, lambda x: x = 'the')) as a, len(list_filter(t, lambda x: x = 'for')) as b from d),
 g as (select count(*) as n, avg(n) as av, count(*) filter (a > 0) as da, count(*) filter (b > 0) as db from f)
 select doc_id, round(ln(1 + (g.n - da + 0.5) / (da + 0.5)) * a / (a + 1.2 * (0.25 + 0.75 * f.n / av)) + ln(1 + (g.n - db + 0.5) / (db + 0.5)) * b / (b + 1.2 * (0.25 + 0.75 * f.n / av)), 6) as score from f, g where a > 0 or b > 0""")
 def match_score(t: Tables) -> DataFrame:
-    return T.search(t.documents.select("doc_id", "text"), "text", "the for").select("doc_id", F.round("_score", 6).alias("score"))
+    return T.search(t.documents.select("doc_id", "text"), "text", "the for", keep=["doc_id"]).select("doc_id", F.round("_score", 6).alias("score"))
 
 
 # session and catalogue functions

@@ -24,6 +24,17 @@ class Foreign:
     def create_table(self, name: str, server: str, table: str, schema: str | None = None) -> None:
         self.tables[name] = {"server": server, "dbtable": f"{schema}.{table}" if schema else table}
 
+    def alter_server(self, name: str, **options: str) -> None:
+        """ALTER SERVER: options are set, or taken away if None."""
+        known = self.servers[name] | options
+        self.servers[name] = {k: v for k, v in known.items() if v is not None}
+
+    def drop_user_mapping(self, server: str, name: str = "") -> None:
+        del self.users[server, name]
+
+    def drop_table(self, name: str) -> None:
+        del self.tables[name]
+
     def drop_server(self, name: str) -> None:
         del self.servers[name]
         self.tables = {k: v for k, v in self.tables.items() if v["server"] != name}
