@@ -58,7 +58,7 @@ def parse_ident(s: Column, strict: bool = True) -> Column:
     names = rf"^{PART}(?:\.{PART})*"
     whole = F.regexp_extract(s, names, 0)
     fits = s.rlike(names + "$" if strict else names)
-    parts = F.transform(F.regexp_extract_all(whole, F.lit(PART), F.lit(0)), F.trim)
+    parts = F.transform(F.regexp_extract_all(whole, F.lit(PART), F.lit(0)), lambda x: F.trim(x))
     bare = F.transform(parts, lambda x: F.when(x.startswith('"'), F.replace(F.substr(x, F.lit(2), F.char_length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(F.lower(x)))
     wrong = F.raise_error(F.concat(F.lit("not a valid identifier: "), s)).cast("array<string>")
     return F.when(fits, bare).when(s.isNotNull(), wrong)

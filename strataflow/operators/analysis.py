@@ -101,7 +101,7 @@ def each(f: Step) -> Step:
 
 lowercase = lambda: each(F.lower)
 uppercase = lambda: each(F.upper)
-trim = lambda: each(F.trim)
+trim = lambda: each(lambda x: F.trim(x))  # noqa: E731  trim takes a second argument, which transform would give it
 reverse = lambda: each(F.reverse)
 ascii_folding = lambda: each(lambda x: F.translate(x, ACCENTED, PLAIN))
 token_pattern_replace = lambda p, to: each(pattern_replace(p, to))

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from strataflow.catalog import TABLES
-from strataflow.plans import analytics, forms, registry, relational, scalars  # noqa: F401
+from strataflow.plans import analytics, forms, registry, relational, scalars, statements  # noqa: F401
 
 
 @pytest.fixture(scope="module")
