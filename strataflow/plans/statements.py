@@ -94,7 +94,7 @@ def filter_network(t: Tables) -> DataFrame:
 # aggregates
 
 
-@query("select l_returnflag, round(sum(cast(l_extendedprice as decimal(18, 4))), 2) as total from lineitem group by l_returnflag")
+@query("select l_returnflag, cast(round(sum(cast(l_extendedprice as decimal(18, 4))), 2) as double) as total from lineitem group by l_returnflag")
 def agg_sum_stable(t: Tables) -> DataFrame:
     return t.lineitem.groupBy("l_returnflag").agg(F.round(A.sum_stable(F.col("l_extendedprice")), 2).alias("total"))
 
@@ -409,7 +409,7 @@ def ddl_swap(t: Tables) -> DataFrame:
     return t.spark.table(f"{a}_new").select(F.lit("a").alias("label"), "k").union(t.spark.table(b).select(F.lit("b"), "k"))
 
 
-@query("select n_nationkey as k, n_name as v from nation union all select r_regionkey + 100, r_name from region")
+@query("select cast(n_nationkey as bigint) as k, n_name as v from nation union all select r_regionkey + 100, r_name from region")
 def dml_insert_subquery(t: Tables) -> DataFrame:
     """CREATE SCHEMA, CREATE TABLE AS in it, INSERT from a query, inside statements of a transaction that change nothing."""
     db, path = unique("db"), scratch(t.spark, "schema")
