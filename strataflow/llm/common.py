@@ -24,13 +24,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def sweep(spark: SparkSession) -> int:
+def sweep(spark: SparkSession, since: int = 0, keep: str | None = None) -> int:
     """Deletes the tables that cut() wrote in this process, for use once the results that read them are stored; returns
-    their number. An external retention rule on the shared folder does the same for processes that were lost."""
-    n = len(WRITTEN)
-    while WRITTEN:
-        delete_path(spark, WRITTEN.pop())
-    return n
+    their number. since: only those after the first so many; keep: one that stays. An external retention rule on the
+    shared folder does the same for processes that were lost."""
+    gone = [p for p in WRITTEN[since:] if p != keep]
+    for p in gone:
+        delete_path(spark, p)
+        WRITTEN.remove(p)
+    return len(gone)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -12,7 +12,9 @@ order's hash, then by more of them inside the one bucket that the prefix ends in
 last such bucket, one in 16 million of a leaf, are put in order.
 
 Null level values are nodes of their own; null texts and texts without words have no tokens and are never taken;
-repeated rows are taken or left together if all is equal, and count each; an empty table gives no rows."""
+repeated rows are taken or left together if all is equal, and count each (as rows whose hashes tie and whose ids are the
+same); an empty table gives no rows; a long text counts with all its words, and one that is longer than what is left
+of a budget ends the prefix. Columns of the input under names of the operator's own give way."""
 
 from __future__ import annotations
 

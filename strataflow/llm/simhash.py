@@ -10,8 +10,9 @@ fingerprints is dealt out anew by masks over its free bits, again covering; afte
 seven bits are free, so no task ever gathers an unbounded group, and nothing is dropped. A bucket emits
 the edges of a spanning forest, not its pairs.
 
-Null and wordless texts have fingerprint zero and are linked like others. Rows keep their multiplicity; a null
-id stays and never becomes a component's name unless all ids of the component are null."""
+Null, empty and wordless texts have fingerprint zero and are linked like others; long texts are read whole; an empty
+table gives no rows. Rows keep their multiplicity; of ids that could name a component the smallest does; a null id stays
+and never becomes a component's name unless all ids of the component are null. Only the named columns are read."""
 
 from __future__ import annotations
 

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WRITTEN, cut, shared_dir
+from .common import WRITTEN, cut, maybe_broadcast, shared_dir
 
 SEGMENT, CHUNK, MOST_TASKS = 16 << 20, 1 << 16, 100_000
 MANIFEST = "path string, records long, bytes long"
@@ -146,8 +146,10 @@ def write(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str =
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     rows = rows.withColumn("sha", F.sha1("html")).withColumn("size", F.octet_length("html"))
-    firsts = rows.where(F.col("size") >= least).groupBy("sha").agg(F.max("page_id").alias("first"))
-    rows = rows.join(firsts, "sha", "left").select("page_id", "url", "html", "first", ((F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
+    # only payloads that occur again are looked up: while those are few, no page is shuffled
+    firsts, _ = cut(rows.where(F.col("size") >= least).groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "copies")
+    again = F.coalesce(F.col("copies"), F.lit(0)) > 1
+    rows = rows.join(maybe_broadcast(firsts), "sha", "left").select("page_id", "url", "html", "first", (again & (F.col("size") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))).alias("revisit"))
 
     def run(batches):
         store, base = store_of(folder)

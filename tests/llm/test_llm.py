@@ -313,6 +313,19 @@ def test_substrings_on_the_larger_table(spark):
         assert r.n_spans == sum(g and (not i or not gone[i - 1]) for i, g in enumerate(gone))
 
 
+def test_long_texts(spark):
+    """Texts of some megabytes: substrings across pieces, whole counts of words, prefixes of the mix."""
+    random.seed(1)
+    a = "".join(random.choice("abcdefgh ") for _ in range(1_500_000))
+    b = a[1_048_000:1_049_500]  # across the end of a piece
+    rows = {r.doc_id: r for r in substrings.dedupe(docs_of(spark, [a, "x" + b + "y"])).collect()}
+    assert (rows[0].n_removed, rows[0].n_spans, rows[1].n_removed) == (1500, 1, 1500)
+    assert rows[0].kept_sha256 == hashlib.sha256((a[:1_048_000] + a[1_049_500:]).encode()).hexdigest() and rows[1].kept_sha256 == hashlib.sha256(b"xy").hexdigest()
+    out = mixing.mix(docs_of(spark, ["w " * 300_000, "w " * 10, None]).withColumn("source", F.lit("src0")), share=1.0).collect()
+    assert {r.doc_id: (r.mix_tokens, r.n_copies) for r in out} == {0: (300_000, 1), 1: (10, 1)}
+    assert len(secrets.scan(docs_of(spark, [" token=abcdefghijklmnop" * 20_000]))[0].first().secrets) == 20_000
+
+
 def test_substrings_in_pieces(monkeypatch):
     random.seed(2)
     t = bytes(random.randrange(97, 101) for _ in range(5000))
