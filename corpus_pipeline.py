@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataflow.llm import decontam, langid, mixing, pii, simhash
-from strataflow.llm.common import cut
+from strataflow.llm.common import WRITTEN, cut, sweep
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. Once a stage's rows are written, all that was written before them in this run is deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), len(WRITTEN)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs, _ = cut(docs, "stage")
+            docs, path = cut(docs, "stage")
+            sweep(spark, before, path)
     return docs
