@@ -36,9 +36,10 @@ def hashed(text: Column) -> Column:
 
 
 def grams(hashes: Column, n: int, size: int) -> Column:
-    """Hashes of every n consecutive values; none if there are fewer."""
+    """Hashes of every n consecutive values (that of an array of them); none if there are fewer. Values are picked one by
+    one: a slice would be a new array for each."""
     count = F.size(hashes)
-    all_of = F.transform(F.sequence(F.lit(1), count - (n - 1)), lambda i: F.xxhash64(F.lit(size), F.slice(hashes, i, n)))
+    all_of = F.transform(F.sequence(F.lit(0), count - n), lambda i: F.xxhash64(F.lit(size), *[F.get(hashes, i + k) for k in range(n)]))
     return F.when(count >= n, all_of).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -47,7 +48,7 @@ def kept(hashes: Column, short: list[int]) -> Column:
     none = F.array().cast("array<bigint>")
 
     def least(g: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.array_min(F.slice(g, i, WINDOW - GRAM + 1))))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(hashes) - WINDOW), lambda i: F.least(*[F.get(g, i + k) for k in range(WINDOW - GRAM + 1)])))
 
     main = F.when(F.size(hashes) >= WINDOW, let(grams(hashes, GRAM, WINDOW), least)).otherwise(none)
     return F.concat(main, *[grams(hashes, n, n) for n in short]) if short else main
