@@ -7,7 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Step = Callable[[Column], Column]
@@ -211,6 +211,29 @@ def light_stem(language: str, least: int = 3) -> Step:
     return each(one)
 
 
+#: Endings of inflection by language, for light stemming where no rules stand above.
+ENDINGS = {
+    "armenian": ["ներից", "ներով", "ներ", "ում", "ից", "ով"], "basque": ["aren", "etan", "ekin", "ak", "ek", "an"], "brazilian": ["ções", "mente", "ção", "ando", "endo", "es", "os", "as"], "bulgarian": ["ията", "ите", "ата", "ове", "ът", "та", "то", "и"],
+    "catalan": ["cions", "ment", "ció", "ant", "es", "os", "a"], "czech": ["ování", "ého", "ých", "ách", "ami", "ou", "y"], "danish": ["erne", "ene", "ende", "er", "en", "et", "e"], "dutch": ["heden", "ingen", "ing", "en", "je", "e", "s"],
+    "finnish": ["issa", "illa", "ista", "ssa", "lla", "den", "t"], "galician": ["cións", "mente", "ción", "ando", "es", "os", "as"], "greek": ["ους", "ων", "ες", "οι", "ος", "ας", "η"], "hungarian": ["okban", "ekben", "ban", "ben", "nak", "nek", "ok", "ek"],
+    "indonesian": ["kannya", "kan", "nya", "lah", "kah", "an", "i"], "irish": ["eanna", "anna", "acht", "adh", "igh", "a"], "italian": ["zioni", "mente", "zione", "ando", "endo", "i", "e", "o", "a"], "latvian": ["iem", "ajam", "as", "us", "ām", "s", "a"],
+    "lithuanian": ["iams", "uose", "ose", "ams", "as", "ų", "ai"], "norwegian": ["hetene", "heten", "ene", "ande", "er", "en", "et", "a"], "portuguese": ["ções", "mente", "ção", "ando", "indo", "es", "os", "as"], "romanian": ["ilor", "ului", "elor", "ul", "ea", "le", "i"],
+    "russian": ["ование", "ами", "ого", "ыми", "ах", "ов", "ый", "ы"], "swedish": ["heterna", "arna", "erna", "orna", "ande", "ar", "er", "en"], "turkish": ["larından", "lerinden", "ların", "lerin", "lar", "ler", "da", "de"],
+}
+
+
+def strip_endings(language: str, least: int = 3) -> Step:
+    """Takes off the longest of a language's ENDINGS that leaves at least so many letters."""
+
+    def one(x: Column) -> Column:
+        out = x
+        for end in sorted(ENDINGS[language], key=len):
+            out = F.when(x.endswith(end) & (F.char_length(x) - len(end) >= least), F.substr(x, F.lit(1), F.char_length(x) - len(end))).otherwise(out)
+        return out
+
+    return each(one)
+
+
 @dataclass(frozen=True)
 class Chain:
     chars: list[Step] = field(default_factory=list)
@@ -241,9 +264,33 @@ ANALYZERS: dict[str, Chain] = {
 }
 
 
+def language(name: str, stops: list[str] | None = None, normal: Step | None = None) -> Chain:
+    """An analyzer of a language: letters lower-cased and brought to one form, elided articles and common words left out
+    (the caller's, as lists of them are data; see frequent()), endings taken off."""
+    articles = {"catalan": ["l", "d", "m", "n", "s", "t"], "irish": ["d", "m", "b"], "italian": ["c", "l", "all", "dall", "dell", "nell", "sull", "un", "d"]}.get(name)
+    steps = [elision(articles)] if articles else []
+    if name == "turkish":
+        steps += [each(lambda x: F.regexp_replace(x, "['’].*$", "")), each(lambda x: F.translate(x, "İI", "iı"))]
+    steps += [lowercase()]
+    if name == "greek":
+        steps += [each(lambda x: F.translate(x, "άέήίόύώϊϋΐΰς", "αεηιουωιυιυσ"))]
+    steps += [normal] if normal else []
+    steps += [stop(stops)] if stops else []
+    return Chain(tokenizer=classic() if articles or name == "turkish" else standard(), filters=[*steps, *([strip_endings(name)] if name in ENDINGS else [])])
+
+
+def frequent(df: DataFrame, text: str, n: int, chain: Chain | None = None) -> list[str]:
+    """The n most frequent tokens of a column (ties by name), as stop words learned from the texts at hand."""
+    words = df.select(F.explode((chain or ANALYZERS["standard"]).tokens(F.col(text))).alias("w")).groupBy("w").count()
+    return [r.w for r in words.orderBy(F.col("count").desc(), "w").limit(n).collect()]  # n rows
+
+
 def create_analyzer(name: str, chain: Chain) -> None:
     ANALYZERS[name] = chain
 
 
+ANALYZERS |= {k: language(k) for k in ENDINGS}
+
+
 def drop_analyzer(name: str) -> None:
     del ANALYZERS[name]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import TABLES, Tables
-from ..functions import arrays, geo, network, sql, strings, system, times
+from ..functions import arrays, geo, network, objects, sql, strings, system, times
 from ..operators import aggregates as A
 from ..operators import analysis as An
 from ..operators import dml, schema, statements
@@ -219,9 +219,9 @@ WORDS_OF = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}_]+
 
 
 def scored_sql(kind: str) -> str:
-    """BM25 of 'large steel' over p_name (boost 2) and p_type by counting words."""
+    """BM25 of 'large gear' over p_name (boost 2) and p_type by counting words."""
     base = f"""with d as (select p_partkey, {WORDS_OF.format("p_name")} as a, {WORDS_OF.format("p_type")} as b from part),
-c as (select p_partkey, len(a) as la, len(b) as lb, {", ".join(f"len(list_filter({f}, lambda x: x = '{w}')) as {f}{i}" for f in "ab" for i, w in enumerate(("large", "steel")))} from d),
+c as (select p_partkey, len(a) as la, len(b) as lb, {", ".join(f"len(list_filter({f}, lambda x: x = '{w}')) as {f}{i}" for f in "ab" for i, w in enumerate(("large", "gear")))} from d),
 g as (select count(*) as n, avg(la) as ava, avg(lb) as avb, {", ".join(f"count(*) filter ({f}{i} > 0) as d{f}{i}" for f in "ab" for i in (0, 1))} from c),
 s as (select p_partkey, a0, a1, b0, b1, {", ".join(f"ln(1 + (g.n - d{f}{i} + 0.5) / (d{f}{i} + 0.5)) * {f}{i} / ({f}{i} + 1.2 * (0.25 + 0.75 * l{f} / av{f})) as s{f}{i}" for f in "ab" for i in (0, 1))} from c, g)"""
     total = {
@@ -234,19 +234,19 @@ s as (select p_partkey, a0, a1, b0, b1, {", ".join(f"ln(1 + (g.n - d{f}{i} + 0.5
 
 @query(scored_sql("best"))
 def match_best_fields(t: Tables) -> DataFrame:
-    got = T.search_fields(t.part, {"p_name": 2.0, "p_type": 1.0}, "large steel", tie_breaker=0.3)
+    got = T.search_fields(t.part, {"p_name": 2.0, "p_type": 1.0}, "large gear", tie_breaker=0.3)
     return got.select("p_partkey", F.round("_score", 6).alias("score"))
 
 
 @query(scored_sql("most"))
 def match_most_fields(t: Tables) -> DataFrame:
-    got = T.search_fields(t.part, {"p_name": 2.0, "p_type": 1.0}, "large steel", kind="most_fields", minimum_should_match=2)
+    got = T.search_fields(t.part, {"p_name": 2.0, "p_type": 1.0}, "large gear", kind="most_fields", minimum_should_match=2)
     return got.select("p_partkey", F.round("_score", 6).alias("score"))
 
 
 @query(scored_sql("cross"))
 def match_cross_fields(t: Tables) -> DataFrame:
-    got = T.search_fields(t.part, {"p_name": 2.0, "p_type": 1.0}, "large steel", kind="cross_fields", operator="and", keep=["p_partkey"])
+    got = T.search_fields(t.part, {"p_name": 2.0, "p_type": 1.0}, "large gear", kind="cross_fields", operator="and", keep=["p_partkey"])
     return got.select("p_partkey", F.round("_score", 6).alias("score"))
 
 
@@ -265,24 +265,93 @@ def match_tokenizers(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", *[s(x).alias(k) for k, s in steps.items()], chain.tokens(x).alias("standard"))
 
 
-TYPE_WORDS = "string_split(p_type, ' ')"
+TYPE_WORDS = "string_split(upper(p_name), ' ')"
 
 
 @query(f"""select p_partkey, list_transform({TYPE_WORDS}, lambda w: lower(w)) as low, list_transform({TYPE_WORDS}, lambda w: upper(w)) as up, list_transform({TYPE_WORDS}, lambda w: reverse(w)) as rev, list_transform({TYPE_WORDS}, lambda w: w[:4]) as cut,
-list_filter({TYPE_WORDS}, lambda w: length(w) between 3 and 6) as sized, {TYPE_WORDS}[1:2] as two, list_transform({TYPE_WORDS}, lambda w: regexp_replace(w, '[AEIOU]', '_', 'g')) as replaced, list_filter({TYPE_WORDS}, lambda w: w not in ('STEEL', 'LARGE')) as stopped,
-flatten(list_transform({TYPE_WORDS}, lambda w: [w[1:1], w[1:2]])) as edges, list_transform(regexp_split_to_array(p_type, '[AE]'), lambda w: trim(w)) as trimmed from part where len({TYPE_WORDS}) >= 0""")
+list_filter({TYPE_WORDS}, lambda w: length(w) between 4 and 5) as sized, {TYPE_WORDS}[1:2] as two, list_transform({TYPE_WORDS}, lambda w: regexp_replace(w, '[AEIOU]', '_', 'g')) as replaced, list_filter({TYPE_WORDS}, lambda w: w not in ('GEAR', 'LARGE')) as stopped,
+flatten(list_transform({TYPE_WORDS}, lambda w: [w[1:1], w[1:2]])) as edges, list_transform(regexp_split_to_array(upper(p_name), '[AE]'), lambda w: trim(w)) as trimmed from part""")
 def match_filters(t: Tables) -> DataFrame:
-    a = F.split("p_type", " ")
-    steps = {"low": An.lowercase(), "up": An.uppercase(), "rev": An.reverse(), "cut": An.truncate(4), "sized": An.length(3, 6), "two": An.limit(2), "replaced": An.token_pattern_replace("[AEIOU]", "_"), "stopped": An.stop(["STEEL", "LARGE"]), "edges": An.edge_ngram(1, 2)}
-    trimmed = An.trim()(F.split("p_type", "[AE]"))
+    a = F.split(F.upper("p_name"), " ")
+    steps = {"low": An.lowercase(), "up": An.uppercase(), "rev": An.reverse(), "cut": An.truncate(4), "sized": An.length(4, 5), "two": An.limit(2), "replaced": An.token_pattern_replace("[AEIOU]", "_"), "stopped": An.stop(["GEAR", "LARGE"]), "edges": An.edge_ngram(1, 2)}
+    trimmed = An.trim()(F.split(F.upper("p_name"), "[AE]"))
     return t.part.select("p_partkey", *[s(a).alias(k) for k, s in steps.items()], trimmed.alias("trimmed"))
 
 
-@query("select p_partkey, replace(replace(p_type, 'STEEL', 'iron'), ' ', '_') as mapped, regexp_replace(p_type, '[AEIOU]', '', 'g') as bare, p_name as stripped from part")
+@query("select p_partkey, replace(replace(p_type, 'LARGE', 'big'), 'O', '_') as mapped, regexp_replace(p_type, '[AEIOU]', '', 'g') as bare, p_name as stripped from part")
 def match_char_filters(t: Tables) -> DataFrame:
     x = F.col("p_type")
     html = F.trim(An.html_strip()(F.concat(F.lit("<p class='x'>"), "p_name", F.lit("</p>"))))
-    return t.part.select("p_partkey", An.mapping({"STEEL": "iron", " ": "_"})(x).alias("mapped"), An.pattern_replace("[AEIOU]", "")(x).alias("bare"), html.alias("stripped"))
+    return t.part.select("p_partkey", An.mapping({"LARGE": "big", "O": "_"})(x).alias("mapped"), An.pattern_replace("[AEIOU]", "")(x).alias("bare"), html.alias("stripped"))
+
+
+def stems_sql() -> str:
+    """Endings taken off by one expression for each language: the shortest beginning of three letters or more leaves the longest ending."""
+    words = "select lower(w) as w, count(*) as n from (select unnest(string_split(p_name || ' ' || p_type, ' ')) as w from part) group by 1"
+    one = "select '{0}' as language, case when regexp_matches(w, '{1}') then regexp_extract(w, '{1}', 1) else w end as stem, n from words"
+    return f"with words as ({words}) select language, stem, cast(sum(n) as bigint) as n from (" + " union all ".join(one.format(k, f"^(.{{3,}}?)(?:{'|'.join(v)})$") for k, v in An.ENDINGS.items()) + ") group by 1, 2"
+
+
+@query(stems_sql())
+def match_languages(t: Tables) -> DataFrame:
+    """Stems by the light rules of every language."""
+    words = t.part.select(F.explode(An.ANALYZERS["standard"].tokens(F.concat_ws(" ", "p_name", "p_type"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    each = F.array(*[F.struct(F.lit(k).alias("language"), F.get(An.strip_endings(k)(F.array("w")), F.lit(0)).alias("stem")) for k in An.ENDINGS])
+    return words.select("n", F.inline(each)).groupBy("language", "stem").agg(F.sum("n").alias("n"))
+
+
+# forms over whole tables whose small relations of values stand elsewhere
+
+
+@query("select p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') || ' ' || upper(p_type[1:1]) || lower(p_type[2:]) as s from part")
+def string_initcap_columns(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", strings.initcap(F.concat_ws(" ", "p_name", "p_type")).alias("s"))
+
+
+@query("""select n_nationkey, ['schema_' || n_regionkey, n_name || ' "x"', lower(n_name) || '_' || n_nationkey] as parts from nation""")
+def string_parse_ident_columns(t: Tables) -> DataFrame:
+    s = F.concat(F.lit("Schema_"), F.col("n_regionkey"), F.lit(' . "'), "n_name", F.lit(' ""x""".'), F.translate("n_name", " ", "_"), F.lit("_"), F.col("n_nationkey"))
+    return t.nation.select("n_nationkey", network.parse_ident(s).alias("parts"))
+
+
+@query("""select p_partkey, list_sort(list_distinct(list_filter(list_concat(a, b), lambda x: x is not null))) as un, list_filter(a, lambda x: x is null or not list_contains(b, x)) as di, list_has_any(list_filter(a, lambda x: x is not null), b) as ov
+from (select p_partkey, [p_size % 3, p_size % 5, p_size % 3, nullif(p_size % 4, 0)] as a, [p_partkey % 3, p_partkey % 7] as b from part)""")
+def array_sets_columns(t: Tables) -> DataFrame:
+    n = F.col("p_size")
+    a, b = F.array((n % 3).cast("long"), (n % 5).cast("long"), (n % 3).cast("long"), F.nullif(n % 4, F.lit(0)).cast("long")), F.array(F.col("p_partkey") % 3, F.col("p_partkey") % 7)
+    known = F.array_sort(F.filter(arrays.unique(a, b), lambda x: x.isNotNull()))
+    return t.part.select("p_partkey", known.alias("un"), arrays.difference(a, b).alias("di"), arrays.overlap(a, b).alias("ov"))
+
+
+@query("select event_id, ['k', 'e', 'z'] as ks, [user_id, event_id * 2, user_id % 7] as vs from events")
+def object_merge_columns(t: Tables) -> DataFrame:
+    a = F.create_map(F.lit("k"), F.col("user_id"), F.lit("e"), F.col("event_id"))
+    b = F.create_map(F.lit("e"), F.col("event_id") * 2, F.lit("z"), F.col("user_id") % 7)
+    rows = t.events.select("event_id", objects.merge(a, b).alias("m"))
+    return rows.select("event_id", F.map_keys("m").alias("ks"), F.map_values("m").alias("vs"))
+
+
+@query("""with p as (select s_suppkey, s_suppkey * 37 % 360 - 180 + 0.25 as lon, s_nationkey * 7 % 180 - 90 + 0.125 as lat from supplier),
+b as (select s_suppkey, cast(floor((lon + 180) / 360 * 32768) as bigint) as x, cast(floor((lat + 90) / 180 * 32768) as bigint) as y from p),
+d as (select s_suppkey, list_transform(range(30), lambda i: case when i % 2 = 0 then (x >> cast(14 - i // 2 as bigint)) & 1 else (y >> cast(14 - i // 2 as bigint)) & 1 end) as bits from b)
+select s_suppkey, array_to_string(list_transform(range(6), lambda c: substr('0123456789bcdefghjkmnpqrstuvwxyz', cast(1 + 16 * bits[5 * c + 1] + 8 * bits[5 * c + 2] + 4 * bits[5 * c + 3] + 2 * bits[5 * c + 4] + bits[5 * c + 5] as bigint), 1)), '') as hash from d""")
+def geo_hash_columns(t: Tables) -> DataFrame:
+    p = geo.point(F.col("s_suppkey") * 37 % 360 - 180 + F.lit(0.25), F.col("s_nationkey") * 7 % 180 - 90 + F.lit(0.125))
+    return t.supplier.select("s_suppkey", geo.geohash(p, 6).alias("hash"))
+
+
+@query("select s_suppkey, round(pow(6371.0087714, 2) * radians(1 + s_suppkey % 5) * (sin(radians(s_nationkey + 2)) - sin(radians(s_nationkey))), 3) as km2 from supplier")
+def geo_area_columns(t: Tables) -> DataFrame:
+    lon, lat = 1 + F.col("s_suppkey") % 5, F.col("s_nationkey")
+    ring = [(F.lit(0), lat), (lon, lat), (lon, lat + 2), (F.lit(0), lat + 2), (F.lit(0), lat)]
+    shape = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *[F.concat_ws(" ", a.cast("string"), b.cast("string")) for a, b in ring]), F.lit("))"))
+    return t.supplier.select("s_suppkey", F.round(geo.area(shape) / 1e6, 3).alias("km2"))
+
+
+@query("""select o_orderkey, cast(date_part('year', a) as int) as years, cast(date_part('month', a) as int) as months from (select o_orderkey, age(timestamp '2001-01-01', date_trunc('month', o_orderdate)) as a from orders)""")
+def time_age_columns(t: Tables) -> DataFrame:
+    a = times.age(F.lit("2001-01-01").cast("timestamp_ntz"), F.date_trunc("month", "o_orderdate").cast("timestamp_ntz"))
+    return t.orders.select("o_orderkey", a.alias("a")).select("o_orderkey", "a.years", "a.months")
 
 
 # sources

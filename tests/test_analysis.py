@@ -40,3 +40,21 @@ def test_registry():
     An.create_analyzer("mine", An.Chain(filters=[An.uppercase()]))
     An.drop_analyzer("mine")
     assert "mine" not in An.ANALYZERS
+
+
+@pytest.mark.parametrize(
+    ("name", "text", "want"),
+    [("russian", "Новыми домами", ["нов", "дом"]), ("greek", "Οι άνθρωποι", ["οι", "ανθρωπ"]), ("turkish", "İstanbul'da evler IŞIKLAR", ["istanbul", "evler", "ışık"]), ("italian", "L'azione delle nazioni", ["azion", "dell", "nazion"]), ("swedish", "bilarna hundar", ["bil", "hund"]), ("dutch", "waarheden boeken", ["waar", "boek"])],
+)
+def test_languages(spark, name, text, want):
+    from strataflow.operators import analysis as An
+
+    assert spark.createDataFrame([(text,)], "t string").select(An.language(name).tokens(F.col("t")).alias("x")).first().x == want
+
+
+def test_stops_from_the_texts(spark):
+    from strataflow.operators import analysis as An
+
+    df = spark.createDataFrame([("a b a c",), ("a b d",)], "t string")
+    assert An.frequent(df, "t", 2) == ["a", "b"]
+    assert df.select(An.language("danish", An.frequent(df, "t", 2)).tokens(F.col("t")).alias("x")).collect()[0].x == ["c"]

@@ -80,3 +80,15 @@ def test_same_rows_whatever_the_plan(spark, folder, settings, name):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_blake3_of_many(spark):
+    """Messages together as alone, over the sizes at which chunks and trees change."""
+    messages = [bytes(i % 251 for i in range(n)) for n in (0, 1, 64, 65, 1024, 1025, 2048, 2049, 3072, 3073, 5000, 9000)]
+    assert network.blake3_many(messages) == [network.blake3_hex(m) for m in messages] and network.blake3_many([]) == []
+    #: From the published test vectors, input bytes counting up to 250 over and over.
+    known = {1: "2d3adedff11b61f14c886e35afa036736dcd87a74d27b5c1510225d0f592e213", 1024: "42214739f095a406f3fc83deb889744ac00df831c10daa55189b5d121c855af7", 2049: "5f4d72f40d7a5f82b15ca2b2e44b1de3c2ef86c426c95c1af0b6879522563030"}
+    for n, want in known.items():
+        assert network.blake3_hex(bytes(i % 251 for i in range(n))) == want
+    df = spark.createDataFrame([("abc",), (None,), ("",)], "s string")
+    assert [r.x and r.x[:8] for r in df.select(network.blake3(F.col("s")).alias("x")).collect()] == ["6437b3ac", None, "af1349b9"]
