@@ -108,18 +108,23 @@ select doc_id, d as mix_domain, l as mix_language, s as mix_source, t as mix_tok
 
 
 def secrets_sql() -> str:
-    """The findings of op4: places of matches from the lengths of the texts between them."""
-    rules = [r.pattern.replace("++", "+").replace("*+", "*").replace("}+", "}").replace("'", "''") for r in secrets.RULES]
-    one = " union all ".join(f"select doc_id, {i} as k, '{r.kind}' as kind, regexp_extract_all(t, '{p}') as m, regexp_split_to_array(t, '{p}') as g from d" for i, (r, p) in enumerate(zip(secrets.RULES, rules)))
-    counts = ", ".join(f"count(*) filter (where k = {i}) as n_{r.kind}" for i, r in enumerate(secrets.RULES[: secrets.BASE]))
+    """The findings of op4: places of matches from the lengths of the texts between them. The expressions are those of the
+    contract, and plain forms of the added ones."""
+    rules = {
+        "assign": r"""(?i:(password|passwd|secret|token|api_?key))["\']?\x20*[:=]\x20*["\']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}",
+        "private_key": "-----BEGIN( [A-Z0-9]{1,20}){0,4} PRIVATE KEY-----", "forge_token": "gh[pousr]_[A-Za-z0-9]{36,}", "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    }
+    base, rules = ("assign", "access", "hex"), {k: v.replace("\\'", "'").replace("'", "''") for k, v in rules.items()}
+    one = " union all ".join(f"select doc_id, {i} as k, '{kind}' as kind, regexp_extract_all(t, '{p}') as m, regexp_split_to_array(t, '{p}') as g from d" for i, (kind, p) in enumerate(rules.items()))
+    counts = ", ".join(f"count(*) filter (where k = {i}) as n_{kind}" for i, kind in enumerate(base))
     return f"""
 with d as (select doc_id, coalesce(text, '') as t from documents),
 r as ({one}),
 e as (select doc_id, k, kind, m, g, unnest(range(1, len(m) + 1)) as i from r),
 p as (select doc_id, k, kind, m[i] as w, cast(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) as bigint) as a from e),
-f as (select *, kind || ':' || a || ':' || (a + length(w)) as s from p where k <> 0 or length(regexp_extract(w, '{rules[0]}', 2)) >= 12),
-x as (select doc_id, {counts}, string_agg(s, ',' order by a, k) filter (where k < {secrets.BASE}) as base, string_agg(s, ',' order by a, k) as spans from f group by doc_id)
-select d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) as n_{r.kind}" for r in secrets.RULES[: secrets.BASE])}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join x on x.doc_id = d.doc_id"""
+f as (select *, kind || ':' || a || ':' || (a + length(w)) as s from p where k <> 0 or length(regexp_extract(w, '{rules["assign"]}', 2)) >= 12),
+x as (select doc_id, {counts}, string_agg(s, ',' order by a, k) filter (where k < {len(base)}) as base, string_agg(s, ',' order by a, k) as spans from f group by doc_id)
+select d.doc_id, {", ".join(f"coalesce(n_{k}, 0) as n_{k}" for k in base)}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join x on x.doc_id = d.doc_id"""
 
 
 EMBEDDING_SQL = """
@@ -133,6 +138,20 @@ k as (select a, count(*) as n from l group by a)
 select v.vec_id, coalesce(k.n, 0) as n_links, least(v.vec_id, coalesce(c.low, v.vec_id)) as component_id, v.vec_id <= coalesce(c.low, v.vec_id) as kept
 from v left join k on k.a = v.vec_id left join c on c.a = v.vec_id"""
 
+#: Every window of 400 bytes by its digest, of texts in hex (cut into parts, as a place far inside a long text is slow to find).
+SUBSTRINGS_SQL = """
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+q as (select r, j * 1000 as base, substr(h, cast(2000 * j + 1 as bigint), 2798) as part from (select r, h, unnest(range(0, (len(h) // 2 + 600) // 1000)) as j from d where len(h) >= 800)),
+w as (select r, base + o as p, md5(substr(part, cast(2 * o + 1 as bigint), 800)) as k from (select r, base, part, unnest(range(0, least(1000, len(part) // 2 - 399))) as o from q)),
+t as (select k from w group by k having count(*) > 1),
+c as (select w.r, w.p, case when w.p - lag(w.p) over (partition by w.r order by w.p) <= 400 then 0 else 1 end as fresh from w join t on t.k = w.k),
+g as (select r, p, sum(fresh) over (partition by r order by p rows unbounded preceding) as n from c),
+s as (select r, n, min(p) as lo, max(p) + 400 as hi from g group by r, n),
+x as (select r, lo, hi, lag(hi, 1, 0) over (partition by r order by lo) as before from s),
+k as (select d.r, string_agg(substr(d.h, cast(2 * x.before + 1 as bigint), cast(2 * (x.lo - x.before) as bigint)), '' order by x.lo) as head, max(x.hi) as last, sum(x.hi - x.lo) as gone, count(*) as spans from x join d on d.r = x.r group by d.r)
+select doc_id, cast(len(h) // 2 as bigint) as n_bytes, coalesce(cast(gone as bigint), 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(head, '') || substr(h, cast(2 * coalesce(last, 0) + 1 as bigint)))) as kept_sha256
+from d left join k on k.r = d.r"""
+
 B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 WARC_SQL = rf"""
 with p as (select page_id, coalesce(html, '') as html from pages),
@@ -161,4 +180,5 @@ from d left join p on p.doc_id = d.doc_id left join i on i.doc_id = d.doc_id""",
     "op4_secrets": secrets_sql(),
     "op6_warc": WARC_SQL,
     "op8_mixing": mixing_sql(),
+    "op10_substrings": SUBSTRINGS_SQL,
 }
