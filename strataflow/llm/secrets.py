@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, path_exists
+from .common import cut, maybe_broadcast, path_exists
 from .spans import SPAN, Rule, found
 
 ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]++)"
@@ -34,19 +34,23 @@ def scan(docs: DataFrame, path: str = "doc_id", text: str = "text", ledger: Data
     """(findings, ledger): findings has (path, blob, secrets array<SPAN>) for every row of docs; ledger has
     (blob, rule_version, secrets) for the blobs of docs, those scanned now and those taken from the given ledger.
 
-    Blobs meet by hash aggregation that keeps any one text of a digest, combined before the shuffle, so that a
-    text held by a third of all rows is sent once by each task."""
+    Digests are counted first. A text that no other row has is scanned where it lies; only texts that several rows share
+    meet by blob, combined before the shuffle, so that one held by a third of all rows is sent once by each task. While
+    the blobs that are shared or known are few, they are looked up by broadcast and no other text is shuffled."""
     rows = docs.select(F.col(path), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    blobs = rows.groupBy("blob").agg(F.any_value("text").alias("text"))
+    sums, _ = cut(rows.groupBy("blob").agg((F.count("*") > 1).alias("shared")), "digests")
+    skipped, shared = sums.where("shared").select("blob"), sums.where("shared").select("blob")
     if ledger is not None:
         known = ledger.where(F.col("rule_version") == RULE_VERSION).select("blob", "rule_version", F.col("secrets").cast(f"array<{SPAN}>").alias("secrets")).dropDuplicates(["blob"])
-        fresh = blobs.join(known, "blob", "left_anti")
-    else:
-        fresh = blobs
+        seen, _ = cut(sums.join(known, "blob", "left_semi").select("blob"), "seen")
+        skipped, shared = skipped.union(seen).distinct(), shared.join(seen, "blob", "left_anti")
+    alone = rows.join(maybe_broadcast(skipped), "blob", "left_anti").select("blob", "text")
+    common = rows.join(maybe_broadcast(shared), "blob", "left_semi").groupBy("blob").agg(F.any_value("text").alias("text"))
     spans = F.array_sort(F.concat(*[found(F.col("text"), r, i) for i, r in enumerate(RULES)]))
-    entries = fresh.select("blob", F.lit(RULE_VERSION).alias("rule_version"), spans.alias("secrets"))
+    entries = alone.unionByName(common).select("blob", F.lit(RULE_VERSION).alias("rule_version"), spans.alias("secrets"))
     if ledger is not None:
-        entries = entries.unionByName(known.join(rows.select("blob").distinct(), "blob", "left_semi"))
+        entries = entries.unionByName(known.join(seen, "blob", "left_semi"))
+    entries, _ = cut(entries, "entries")
     return rows.select(path, "blob").join(entries.select("blob", "secrets"), "blob").select(path, "blob", "secrets"), entries
 
 
@@ -55,9 +59,7 @@ def update(docs: DataFrame, folder: str, path: str = "doc_id", text: str = "text
     added. Batches written by runs that overlap may repeat an entry; one of the equal ones counts."""
     spark = docs.sparkSession
     known = spark.read.schema(f"blob string, rule_version string, secrets array<{SPAN}>").parquet(folder) if path_exists(spark, folder) else None
-    _, entries = scan(docs, path, text, known)
-    fresh, _ = cut(entries, "entries")
+    findings, fresh = scan(docs, path, text, known)
     new = fresh if known is None else fresh.join(known.where(F.col("rule_version") == RULE_VERSION).select("blob"), "blob", "left_anti").select(*fresh.columns)
     new.write.mode("append").parquet(folder)
-    blobs = docs.select(F.col(path), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("blob"))
-    return blobs.join(fresh.select("blob", "secrets"), "blob").select(path, "blob", "secrets")
+    return findings
