@@ -44,10 +44,25 @@ def any_value(x: Column) -> Column:
 
 
 def percentile(x: Column, p: float | list[float]) -> Column:
-    """Interpolated; exact. For columns too wide to sort use percentile_sketch."""
+    """Interpolated; exact. A group's different values are held in memory: percentiles() sorts them with spilling instead,
+    percentile_sketch() is approximate in bounded memory."""
     return F.percentile(x, F.array(*[F.lit(v) for v in p]) if isinstance(p, list) else F.lit(p))
 
 
+def percentiles(df: DataFrame, by: list[str], x: str, ps: dict[str, float]) -> DataFrame:
+    """(by, one column for each of ps): interpolated and exact like percentile(). Equal values are counted before they are
+    sent, and a group's different ones are put in order by a sort that may spill, so that none has to fit in memory."""
+    from pyspark.sql import Window as W
+
+    known = df.groupBy(*by, x).agg(F.count("*").alias("_n")).where(F.col(x).isNotNull())
+    w = W.partitionBy(*by)
+    placed = known.withColumn("_upto", F.sum("_n").over(w.orderBy(x))).withColumn("_all", F.sum("_n").over(w))
+    at = {name: p * (F.col("_all") - 1) for name, p in ps.items()}
+    ends = {f"{end}_{name}": F.min(F.when(F.col("_upto") > cut(place), F.col(x))) for name, place in at.items() for end, cut in (("_lo", F.floor), ("_hi", F.ceil))}
+    got = placed.groupBy(*by).agg(F.max("_all").alias("_all"), *[v.alias(k) for k, v in ends.items()])
+    return got.select(*by, *[(F.col(f"_lo_{k}") + (at[k] - F.floor(at[k])) * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}"))).alias(k) for k in ps])
+
+
 def percentile_sketch(x: Column, p: float | list[float], accuracy: int = 10_000) -> Column:
     """Approximate, from mergeable summaries of bounded size."""
     return F.percentile_approx(x, p, accuracy)

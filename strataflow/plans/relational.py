@@ -142,8 +142,14 @@ def agg_geometric_mean(t: Tables) -> DataFrame:
 
 @query("select c_mktsegment, round(quantile_cont(c_acctbal, 0.5), 4) as p50, round(quantile_cont(c_acctbal, 0.9), 4) as p90 from customer group by c_mktsegment")
 def agg_percentile(t: Tables) -> DataFrame:
-    p = A.percentile(F.col("c_acctbal"), [0.5, 0.9])
-    return t.customer.groupBy("c_mktsegment").agg(p.alias("p")).select("c_mktsegment", F.round(F.col("p")[0], 4).alias("p50"), F.round(F.col("p")[1], 4).alias("p90"))
+    got = A.percentiles(t.customer, ["c_mktsegment"], "c_acctbal", {"p50": 0.5, "p90": 0.9})
+    return got.select("c_mktsegment", F.round("p50", 4).alias("p50"), F.round("p90", 4).alias("p90"))
+
+
+@query("select event_type, round(quantile_cont(value, 0.25), 6) as q1, round(quantile_cont(value, 0.75), 6) as q3 from events group by event_type")
+def agg_percentile_array(t: Tables) -> DataFrame:
+    p = A.percentile(F.col("value"), [0.25, 0.75])
+    return t.events.groupBy("event_type").agg(p.alias("p")).select("event_type", F.round(F.col("p")[0], 6).alias("q1"), F.round(F.col("p")[1], 6).alias("q3"))
 
 
 @query("select n_regionkey, list(nullif(n_nationkey, 3) order by n_nationkey) as ks from nation group by n_regionkey")

@@ -92,3 +92,15 @@ def test_blake3_of_many(spark):
         assert network.blake3_hex(bytes(i % 251 for i in range(n))) == want
     df = spark.createDataFrame([("abc",), (None,), ("",)], "s string")
     assert [r.x and r.x[:8] for r in df.select(network.blake3(F.col("s")).alias("x")).collect()] == ["6437b3ac", None, "af1349b9"]
+
+
+def test_percentiles(spark):
+    """Against numpy, with repeats, nulls and single values."""
+    import numpy as np
+
+    from strataflow.operators import aggregates as A
+
+    rows = [("a", float(v)) for v in (3, 1, 1, 1, 7, 2)] + [("b", 5.0), ("c", None), ("a", None), ("d", 1.0), ("d", 2.0)]
+    got = {r.k: (r.lo, r.mid, r.hi) for r in A.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"lo": 0.0, "mid": 0.3, "hi": 1.0}).collect()}
+    values = {k: [v for j, v in rows if j == k and v is not None] for k in "abd"}
+    assert got.keys() == values.keys() and all(np.allclose(got[k], np.quantile(v, [0, 0.3, 1])) for k, v in values.items())
