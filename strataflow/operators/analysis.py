@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stemming import porter
+
 Step = Callable[[Column], Column]
 
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
@@ -259,7 +261,7 @@ STOPS = {
 
 ANALYZERS: dict[str, Chain] = {
     "standard": Chain(filters=[lowercase()]), "simple": Chain(tokenizer=letter(), filters=[lowercase()]), "whitespace": Chain(tokenizer=whitespace()), "keyword": Chain(tokenizer=keyword()),
-    "stop": Chain(tokenizer=letter(), filters=[lowercase(), stop(STOPS["english"])]), "pattern": Chain(tokenizer=split_on(r"\W+"), filters=[lowercase()]), "fingerprint": Chain(filters=[lowercase(), ascii_folding(), fingerprint()]),
+    "stop": Chain(tokenizer=letter(), filters=[lowercase(), stop(STOPS["english"])]), "pattern": Chain(tokenizer=split_on(r"\W+"), filters=[lowercase()]), "porter": Chain(filters=[lowercase(), stop(STOPS["english"]), porter()]), "fingerprint": Chain(filters=[lowercase(), ascii_folding(), fingerprint()]),
     **{k: Chain(tokenizer=classic() if k == "french" else standard(), filters=[*([elision(["l", "d", "j", "qu", "n", "s", "c", "m", "t"])] if k == "french" else []), lowercase(), stop(v), light_stem(k)]) for k, v in STOPS.items()},
 }
 

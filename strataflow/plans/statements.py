@@ -13,7 +13,7 @@ from ..catalog import TABLES, Tables
 from ..functions import arrays, geo, network, objects, sql, strings, system, times
 from ..operators import aggregates as A
 from ..operators import analysis as An
-from ..operators import dml, schema, statements
+from ..operators import dml, schema, statements, stemming
 from ..operators import relational as R
 from ..operators import textsearch as T
 from ..sources import files
@@ -300,6 +300,53 @@ def match_languages(t: Tables) -> DataFrame:
     return words.select("n", F.inline(each)).groupBy("language", "stem").agg(F.sum("n").alias("n"))
 
 
+GROWN = ["", "s", "sses", "ies", "eed", "ed", "ing", "y", "e", "ll", "ational", "tional", "enci", "izer", "bli", "alli", "ousli", "ization", "ator", "alism", "iveness", "fulness", "aliti", "biliti", "logi", "icate", "ative", "ical", "ness", "ance", "able", "ement", "sion", "ion", "ous", "ize"]
+
+
+def porter_sql() -> str:
+    """Step by step, the measure counted in a text of letter kinds."""
+
+    def m(s: str) -> str:
+        return f"len(regexp_extract_all(regexp_replace(regexp_replace({s}, '[aeiouy]+', '#', 'g'), '[^#]+', 'c', 'g'), '#c'))"
+
+    def short(s: str) -> str:
+        return f"regexp_matches({s}, '[^aeiouy][aeiouy][^aeiouywxY]$')"
+
+    def step(name: str, before: str, ends: str, then: str) -> str:
+        cut = f"'^(.*?)({ends})$'"
+        return f"{name} as (select w, case when e = '' then x {then} else x end as x from (select w, x, regexp_extract(x, {cut}, 1) as s, regexp_extract(x, {cut}, 2) as e from {before}))"
+
+    def change(pairs: str) -> tuple[str, str]:
+        table = [(a, b) for a, _, b in (x.partition(">") for x in pairs.split())]
+        whens = " ".join(f"when '{a}' then '{b}'" for a, b in table)
+        return "|".join(a for a, _ in table), f"when {m('s')} > 0 then s || case e {whens} end"
+
+    second = change("ational>ate tional>tion enci>ence anci>ance izer>ize bli>ble alli>al entli>ent eli>e ousli>ous ization>ize ation>ate ator>ate alism>al iveness>ive fulness>ful ousness>ous aliti>al iviti>ive biliti>ble logi>log")
+    third = change("icate>ic ative> alize>al iciti>ic ical>ic ful> ness>")
+    parts = [
+        f"w as (select distinct b || e as w from (select lower(unnest(string_split(p_name, ' '))) as b from part), (select unnest({GROWN}) as e))",
+        "x as (select w, regexp_replace(w, '(^|[aeiouy])y', '\\1Y', 'g') as x from w)",
+        step("a", "x", "sses|ies|ss|s", "when e = 'sses' then s || 'ss' when e = 'ies' then s || 'i' when e = 's' then s"),
+        step("b", "a", "eed|ed|ing", f"""when e = 'eed' then case when {m("s")} > 0 then s || 'ee' else x end when regexp_matches(s, '[aeiouy]') then case when right(s, 2) in ('at', 'bl', 'iz') then s || 'e'
+when length(s) > 1 and right(s, 1) = left(right(s, 2), 1) and regexp_matches(s, '[^aeiouy]$') then case when right(s, 1) in ('l', 's', 'z') then s else left(s, length(s) - 1) end when {m("s")} = 1 and {short("s")} then s || 'e' else s end"""),
+        step("c", "b", "y|Y", "when regexp_matches(s, '[aeiouy]') then s || 'i'"),
+        step("d", "c", *second),
+        step("f", "d", *third),
+        step("g", "f", "al|ance|ence|er|ic|able|ible|ant|ement|ment|ent|ion|ou|ism|ate|iti|ous|ive|ize", f"when {m('s')} > 1 and (e <> 'ion' or right(s, 1) in ('s', 't')) then s"),
+        step("h", "g", "e", f"when {m('s')} > 1 or ({m('s')} = 1 and not {short('s')}) then s"),
+        step("i", "h", "l", f"when right(s, 1) = 'l' and {m('x')} > 1 then s"),
+    ]
+    return "with " + ", ".join(parts) + " select w, case when length(w) < 3 then w else replace(x, 'Y', 'y') end as stem from i"
+
+
+@query(porter_sql())
+def match_porter(t: Tables) -> DataFrame:
+    """Stems of all words of the parts' names, each with many endings."""
+    bases = t.part.select(F.explode(F.split(F.lower("p_name"), " ")).alias("b")).distinct()
+    grown = bases.select(F.explode(F.transform(F.array(*[F.lit(e) for e in GROWN]), lambda e: F.concat("b", e))).alias("w")).distinct()
+    return grown.select("w", stemming.porter_stem(F.col("w")).alias("stem"))
+
+
 # forms over whole tables whose small relations of values stand elsewhere
 
 
