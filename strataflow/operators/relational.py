@@ -46,8 +46,8 @@ def ignore3vl(condition: Column) -> Column:
 
 def project_set(df: DataFrame, keep: list[str], **sets: Column) -> DataFrame:
     """Set-returning expressions (arrays) in a select list: they advance in lock-step, shorter ones give nulls.
-    Rows whose sets are all empty go."""
-    zipped = F.arrays_zip(*[F.coalesce(v, F.filter(v, lambda x: F.lit(False))).alias(k) for k, v in sets.items()])
+    A null array counts as an empty one. Rows whose sets are all empty go."""
+    zipped = F.arrays_zip(*[F.coalesce(v, F.array()).alias(k) for k, v in sets.items()])
     return df.select(*keep, F.explode(zipped).alias("_set")).select(*keep, *[F.col("_set").getField(k).alias(k) for k in sets])
 
 
@@ -75,8 +75,12 @@ def anti(a: DataFrame, b: DataFrame, on: object) -> DataFrame:
 
 
 def not_in(a: DataFrame, key: str, values: DataFrame) -> DataFrame:
-    """NOT IN (subquery): nothing is kept if values holds a null, null keys are kept only if values is empty."""
-    return a.sparkSession.sql(f"select * from {{a}} where {key} not in (select v from {{b}})", a=a, b=values.toDF("v"))
+    """NOT IN (subquery): nothing is kept if values holds a null, null keys are kept only if values is empty. The planner's
+    own NOT IN broadcasts the values however many there are; here they are joined, and one row of counts is broadcast."""
+    v = values.toDF("_v")
+    row = v.agg(F.count("*").alias("_n"), F.count("_v").alias("_known"))
+    left = a.withColumn("_key", F.expr(key)).join(v.where("_v is not null").distinct(), F.col("_key") == F.col("_v"), "left_anti")
+    return left.crossJoin(F.broadcast(row)).where("_n = 0 or (_known = _n and _key is not null)").select(*a.columns)  # one row
 
 
 NEGATED = {"=": "<>", "<>": "=", "<": ">=", ">=": "<", ">": "<=", "<=": ">"}

@@ -81,6 +81,23 @@ def subquery_not_any(t: Tables) -> DataFrame:
     return told.where(~F.col("hit")).agg(F.count("*").alias("n"))
 
 
+@query("""select 'known' as vs, c_custkey, k from (select c_custkey, nullif(c_nationkey, 12) as k from customer) where k not in (select s_nationkey from supplier where s_acctbal > 8000)
+union all select 'null', c_custkey, k from (select c_custkey, nullif(c_nationkey, 12) as k from customer) where k not in (select nullif(s_nationkey, 3) from supplier)
+union all select 'empty', c_custkey, k from (select c_custkey, nullif(c_nationkey, 12) as k from customer) where k not in (select s_nationkey from supplier where s_acctbal > 1e9)""")
+def subquery_not_in(t: Tables) -> DataFrame:
+    """NOT IN of values without a null, with one, and of none; some keys are null."""
+    rows, s = t.customer.select("c_custkey", F.nullif("c_nationkey", F.lit(12)).alias("k")), t.supplier
+    sets = {"known": s.where("s_acctbal > 8000").select("s_nationkey"), "null": s.select(F.nullif("s_nationkey", F.lit(3))), "empty": s.where("s_acctbal > 1e9").select("s_nationkey")}
+    return R.union(*[R.not_in(rows, "k", v).select(F.lit(k).alias("vs"), "c_custkey", "k") for k, v in sets.items()])
+
+
+@query("""select c_custkey, unnest(case when c_nationkey % 3 > 0 then range(c_nationkey % 4) end) as i, unnest(case when c_nationkey % 5 > 0 then string_split(c_mktsegment, 'I') end) as part from customer""")
+def table_sets_with_nulls(t: Tables) -> DataFrame:
+    """Two sets in lock-step, either of which may be null, empty or the shorter one."""
+    i = F.when(F.col("c_nationkey") % 3 > 0, F.filter(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long")), lambda x: x < F.col("c_nationkey") % 4))
+    return R.project_set(t.customer, ["c_custkey"], i=i, part=F.when(F.col("c_nationkey") % 5 > 0, F.split("c_mktsegment", "I")))
+
+
 text("table_sample", "select count(*) as n from orders tablesample (100 percent)", "select count(*) as n from orders tablesample 100%", tables=("orders",))
 
 

@@ -144,3 +144,20 @@ def test_stream_upsert(spark, tmp_path):
         SW.upsert(stream, str(tmp_path / "out"), ["k"], "at", str(tmp_path / "ck")).awaitTermination()
         spark.createDataFrame([(2, 9, 9)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, 2, 2), (2, 9, 9)]
+
+
+def test_null_sets_are_empty(spark):
+    """A row goes only if none of its sets has a value."""
+    df = spark.sql("select * from values (1, array(1, 2), array('a')), (2, null, array('x', 'y')), (3, array(5), null), (4, null, null), (5, array(), array('q')), (6, array(), null) as t(i, a, b)")
+    rows = R.project_set(df, ["i"], a=F.col("a"), b=F.col("b")).collect()
+    assert sorted(map(tuple, rows), key=str) == [(1, 1, "a"), (1, 2, None), (2, None, "x"), (2, None, "y"), (3, 5, None), (5, None, "q")]
+
+
+def test_not_in_broadcasts_counts_only(spark, folder):
+    orders, customer = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("orders", "customer"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = R.not_in(orders, "o_custkey", customer.select("c_custkey"))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
