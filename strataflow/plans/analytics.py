@@ -68,7 +68,9 @@ text("ship_mode_like", "select o_orderpriority, sum(case when l_linestatus = 'F'
 text("customer_distribution", "select c_count, count(*) as custdist from (select c_custkey, count(o_orderkey) as c_count from customer left join orders on c_custkey = o_custkey and o_orderpriority <> '1-URGENT' group by c_custkey) group by c_count", tables=("customer", "orders"))
 text("promo_share", "select round(100 * sum(case when p_type like 'PROMO%' or p_size < 10 then l_extendedprice * (1 - l_discount) else 0 end) / sum(l_extendedprice * (1 - l_discount)), 4) as promo from lineitem join part on l_partkey = p_partkey", tables=("lineitem", "part"))
 text("top_supplier", "with r as (select l_suppkey, round(sum(l_extendedprice * (1 - l_discount)), 4) as total from lineitem group by l_suppkey) select s_suppkey, s_name, total from supplier join r on s_suppkey = l_suppkey where total = (select max(total) from r)", tables=("lineitem", "supplier"))
-text("parts_supplier_relation", "select p_brand, p_size, count(distinct l_suppkey) as supplier_cnt from part join lineitem on p_partkey = l_partkey where p_size in (3, 9, 14, 19) and l_suppkey not in (select s_suppkey from supplier where s_acctbal < 0) group by p_brand, p_size", tables=("part", "lineitem", "supplier"))
+# NOT IN of a key without nulls as NOT EXISTS: the planner's own NOT IN broadcasts the suppliers, however many there are
+text("parts_supplier_relation", "select p_brand, p_size, count(distinct l_suppkey) as supplier_cnt from part join lineitem on p_partkey = l_partkey where p_size in (3, 9, 14, 19) and l_suppkey is not null and not exists (select 1 from supplier where s_suppkey = l_suppkey and s_acctbal < 0) group by p_brand, p_size",
+     "select p_brand, p_size, count(distinct l_suppkey) as supplier_cnt from part join lineitem on p_partkey = l_partkey where p_size in (3, 9, 14, 19) and l_suppkey not in (select s_suppkey from supplier where s_acctbal < 0) group by p_brand, p_size", tables=("part", "lineitem", "supplier"))
 text("small_quantity", "select round(sum(l_extendedprice) / 7.0, 2) as avg_yearly from lineitem join part on p_partkey = l_partkey where p_size < 10 and l_quantity < (select 0.5 * avg(x.l_quantity) from lineitem x where x.l_partkey = p_partkey)", tables=("lineitem", "part"))
 text("large_volume", "select c_name, o_orderkey, o_totalprice, round(sum(l_quantity), 2) as q from customer join orders on c_custkey = o_custkey join lineitem on o_orderkey = l_orderkey where o_orderkey in (select l_orderkey from lineitem group by l_orderkey having sum(l_quantity) > 150) group by c_name, o_orderkey, o_totalprice order by o_totalprice desc, o_orderkey limit 100", tables=("customer", "orders", "lineitem"))
 text("sales_opportunity", "select c_nationkey, count(*) as numcust, round(sum(c_acctbal), 2) as total from customer where c_acctbal > (select avg(c_acctbal) from customer where c_acctbal > 0) and not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000) group by c_nationkey", tables=("customer", "orders"))
