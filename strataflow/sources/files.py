@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +14,10 @@ BROKEN = "_broken"
 
 def copy_from(spark: SparkSession, paths: str | list[str], schema: StructType | str, format: str | None = None, *, header: bool = True, delimiter: str = ",", skip: int = 0, empty_string_as_null: bool = False, fail_fast: bool = False) -> DataFrame:
     """Rows of files or globs (gzip by name); format by the names' ending if it isn't given. Broken lines are left out,
-    or fail the read with fail_fast. skip leaves out lines at the start of each file, before the header."""
+    or fail the read with fail_fast; a CSV line is broken if its number of values is not that of the header (or schema).
+    A header names the columns of its file, in any order: columns of the schema that it lacks are null, others are left
+    out. All files of one read have the same header, else the read fails. Spaces around CSV values go. skip leaves out
+    lines at the start of each file, before the header."""
     good, _ = _read(spark, paths, schema, format, header, delimiter, skip, empty_string_as_null, fail_fast)
     return good
 
@@ -22,33 +27,68 @@ def _read(spark, paths, schema, format, header, delimiter, skip, empty_string_as
     kind = format or ("csv" if all(".csv" in p for p in paths) else "json")
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    whole = StructType([*schema.fields, StructField(BROKEN, StringType())])
-    reader = spark.read.schema(whole).option("mode", "FAILFAST" if fail_fast else "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+    line, fields = None, schema.fields
+    if kind == "csv" and header:
+        line, fields = header_fields(_line(spark, paths, skip), delimiter, schema)
+    whole = StructType([*fields, StructField(BROKEN, StringType())])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "columnNameOfCorruptRecord": BROKEN, "mode": "FAILFAST" if fail_fast else "PERMISSIVE"}
+    reader = spark.read.schema(whole).options(**options)
     if kind == "csv":
-        reader = reader.option("header", header).option("sep", delimiter).option("quote", '"').option("escape", '"').option("nullValue", "" if empty_string_as_null else "\0").option("emptyValue", "").option("enforceSchema", True)
+        nulls = {"nullValue": "" if empty_string_as_null else "\0", "emptyValue": ""}
         if skip:
-            lines = _after_first_lines(spark, paths, skip + header).where("line <> ''")
-            options = {"sep": delimiter, "quote": '"', "escape": '"', "columnNameOfCorruptRecord": BROKEN, "mode": "FAILFAST" if fail_fast else "PERMISSIVE"}
-            rows = lines.select("_file", F.from_csv("line", whole.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r")).select("_file", "r.*")
-            return rows.where(F.col(BROKEN).isNull()).drop(BROKEN, "_file"), rows
+            lines = _after_first_lines(spark, paths, skip, line).where("line <> ''")
+            rows = lines.select("_file", F.from_csv("line", ddl(whole), options | nulls).alias("r")).select("_file", "r.*")
+            return named(rows, schema).where(F.col(BROKEN).isNull()).drop(BROKEN, "_file"), rows
+        reader = reader.options(**nulls).option("header", header).option("enforceSchema", not header)
     rows = reader.format(kind).load(paths).withColumn("_file", F.col("_metadata.file_path"))
-    return rows.where(F.col(BROKEN).isNull()).drop(BROKEN, "_file"), rows
+    return named(rows, schema).where(F.col(BROKEN).isNull()).drop(BROKEN, "_file"), rows
+
+
+def ddl(schema: StructType) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
+def header_fields(line: str, delimiter: str, schema: StructType) -> tuple[str, list[StructField]]:
+    """A header's line, and its columns in order: those of the schema with their types, others as texts."""
+    names = [n.strip() for n in next(csv.reader([line], delimiter=delimiter), [])]
+    if not names or "" in names or len(set(names)) < len(names):
+        raise ValueError(f"the header has no, empty or repeated names: {line}")
+    return line, [schema[n] if n in schema.names else StructField(n, StringType()) for n in names]
+
+
+def named(rows: DataFrame, schema: StructType) -> DataFrame:
+    """The schema's columns, null where the rows have none, beside those of bookkeeping."""
+    have = set(rows.columns)
+    return rows.select(*[F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], *[c for c in (BROKEN, "_file") if c in have])
+
+
+def _line(spark: SparkSession, paths: list[str], skip: int) -> str:
+    """The line after so many at the start of one of the files, empty if there is none."""
+    files = sorted(spark.read.text(paths).inputFiles())
+    if not files:
+        return ""
+    first = [r[0] for r in spark.read.option("lineSep", "\n").text(files[0]).limit(skip + 1).collect()]  # skip + 1 lines
+    return first[skip].rstrip("\r") if len(first) > skip else ""
 
 
-def _after_first_lines(spark: SparkSession, paths: list[str], n: int) -> DataFrame:
-    """(_file, line) without the first n lines of each file. Files are read in blocks as ever; lines are counted only in a
-    file's first block, which has to hold all n. Values with line breaks are not supported here."""
+def _after_first_lines(spark: SparkSession, paths: list[str], skip: int, header: str | None) -> DataFrame:
+    """(_file, line) without the first skip lines of each file and its header, which has to be this one. Files are read in
+    blocks as ever; lines are counted only in a file's first block, which has to hold all of these. Values with line
+    breaks are not supported here."""
     rows = spark.read.option("lineSep", "\n").text(paths).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.col("value").alias("line"))
 
     def run(batches):
         at, seen = None, 0
         for b in batches:
             keep = []
-            for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for i, (file, start) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
                 if (file, start) != at:
                     at, seen = (file, start), 0
                 seen += 1
-                keep.append(start > 0 or seen > n)
+                named_here = header is not None and seen == skip + 1
+                if start == 0 and named_here and (found := b.column(2)[i].as_py().rstrip("\r")) != header:
+                    raise ValueError(f"{file} has another header: {found}")
+                keep.append(start > 0 or seen > skip and not named_here)
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 2])
 
     out = rows.mapInArrow(run, "_file string, line string")

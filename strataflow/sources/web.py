@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .files import BROKEN, ddl, header_fields, named
+
 CHUNK, LINES = 1 << 20, 10_000
 
 
@@ -63,15 +65,20 @@ def lines(spark: SparkSession, urls: list[str], timeout: float = 60.0) -> DataFr
 
 
 def copy_from(spark: SparkSession, urls: list[str], schema: StructType | str, format: str = "json", *, header: bool = True, delimiter: str = ",", fail_fast: bool = False) -> DataFrame:
-    """Rows of JSON lines or CSV without line breaks in its values; broken lines are left out, or fail the job with fail_fast."""
+    """Rows of JSON lines or CSV without line breaks in its values; broken lines are left out, or fail the job with fail_fast.
+    A header names the columns as in files.copy_from(); it is that of the first address, and others have to have the same."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    whole = StructType([*schema.fields, StructField("_broken", StringType())])
-    mode = {"mode": "FAILFAST" if fail_fast else "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"}
+    line, fields = None, schema.fields
+    if format == "csv" and header:
+        line, fields = header_fields(next(iter(streamed(urls[0], 60.0)), b"").decode("utf-8", "replace").rstrip("\r"), delimiter, schema)
+    whole = StructType([*fields, StructField(BROKEN, StringType())])
+    mode = {"mode": "FAILFAST" if fail_fast else "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
     rows = lines(spark, urls)
     if format == "csv":
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.fields)
-        parsed = F.from_csv("line", ddl, mode | {"sep": delimiter, "quote": '"', "escape": '"'})
-        rows = rows.where("number > 0") if header else rows
+        spaces = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+        parsed = F.from_csv("line", ddl(whole), mode | spaces | {"sep": delimiter, "quote": '"', "escape": '"'})
+        other = F.raise_error(F.concat("url", F.lit(" has another header: "), "line")).cast("boolean")
+        rows = rows.where(F.when(F.col("number") > 0, True).when(F.col("line") == line, False).otherwise(other)) if header else rows
     else:
         parsed = F.from_json("line", whole, mode)
-    return rows.select(parsed.alias("r")).select("r.*").where("_broken is null").drop("_broken")
+    return named(rows.select(parsed.alias("r")).select("r.*"), schema).where(F.col(BROKEN).isNull()).drop(BROKEN)

@@ -161,3 +161,25 @@ def test_not_in_broadcasts_counts_only(spark, folder):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_header_names_the_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('b, a,extra\n"x, y",1,q\n  z  ,2,r\n')
+    (tmp_path / "b.csv").write_text("b, a,extra\nw,3,s\n")
+    want = [(1, "x, y", None), (2, "z", None), (3, "w", None)]
+    assert sorted(map(tuple, files.copy_from(spark, str(tmp_path / "?.csv"), "a int, b string, missing date").collect())) == want
+    for n in "ab":
+        (tmp_path / f"s{n}.csv").write_text("about\n\n" + (tmp_path / f"{n}.csv").read_text())
+    assert sorted(map(tuple, files.copy_from(spark, str(tmp_path / "s?.csv"), "a int, b string, missing date", skip=2).collect())) == want
+    assert sorted(map(tuple, files.copy_summary(spark, str(tmp_path / "?.csv"), "a int, b string").select("success_count", "error_count").collect())) == [(1, 0), (2, 0)]
+    (tmp_path / "b.csv").write_text("a,b,extra\n3,w,s\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.copy_from(spark, str(tmp_path / "?.csv"), "a int, b string").collect()
+    (tmp_path / "sb.csv").write_text("about\n\na,b,extra\n3,w,s\n")
+    with pytest.raises(Exception, match="another header"):
+        files.copy_from(spark, str(tmp_path / "s?.csv"), "a int, b string", skip=2).collect()
+    (tmp_path / "d.csv").write_text("a,a\n1,2\n")
+    with pytest.raises(ValueError, match="repeated"):
+        files.copy_from(spark, str(tmp_path / "d.csv"), "a int")
+    (tmp_path / "n.csv").write_text("1,x\n2,y\n")
+    assert sorted(map(tuple, files.copy_from(spark, str(tmp_path / "n.csv"), "a int, b string", header=False).collect())) == [(1, "x"), (2, "y")]
