@@ -183,3 +183,9 @@ def test_header_names_the_columns(spark, tmp_path):
         files.copy_from(spark, str(tmp_path / "d.csv"), "a int")
     (tmp_path / "n.csv").write_text("1,x\n2,y\n")
     assert sorted(map(tuple, files.copy_from(spark, str(tmp_path / "n.csv"), "a int, b string", header=False).collect())) == [(1, "x"), (2, "y")]
+
+
+def test_gaps_keep_null_groups_and_values(spark):
+    rows = spark.sql("select * from values (null, timestamp_ntz'2024-01-01 00:00:00', 1, null), (null, timestamp_ntz'2024-01-01 02:00:00', 2, 5), ('a', timestamp_ntz'2024-01-01 00:00:00', null, 6), ('b', null, 7, 8) as t(k, bucket, n, v)")
+    got = sorted([(r.k, r.bucket and r.bucket.hour, r.n, r.v) for r in TS.fill_gaps(rows, ["k"], "1 hour", {"n": 0}).collect()], key=str)
+    assert got == sorted([(None, 0, 1, None), (None, 1, 0, None), (None, 2, 2, 5), ("a", 0, None, 6), ("b", None, 7, 8)], key=str)
