@@ -7,15 +7,16 @@ import csv
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 BROKEN = "_broken"
 
 
 def copy_from(spark: SparkSession, paths: str | list[str], schema: StructType | str, format: str | None = None, *, header: bool = True, delimiter: str = ",", skip: int = 0, empty_string_as_null: bool = False, fail_fast: bool = False) -> DataFrame:
     """Rows of files or globs (gzip by name); format by the names' ending if it isn't given. Broken lines are left out,
-    or fail the read with fail_fast; a CSV line is broken if its number of values is not that of the header (or schema).
-    A header names the columns of its file, in any order: columns of the schema that it lacks are null, others are left
+    or fail the read with fail_fast. A CSV line is broken if a value does not have its column's type, if it has more values
+    than the header, or, where there is none, fewer than the schema; values that it lacks are null, surplus ones left out.
+    An empty value is an empty text (null with empty_string_as_null), and null in columns of other types. A header names the columns of its file, in any order: columns of the schema that it lacks are null, others are left
     out. All files of one read have the same header, else the read fails. Spaces around CSV values go. skip leaves out
     lines at the start of each file, before the header."""
     good, _ = _read(spark, paths, schema, format, header, delimiter, skip, empty_string_as_null, fail_fast)
@@ -27,39 +28,66 @@ def _read(spark, paths, schema, format, header, delimiter, skip, empty_string_as
     kind = format or ("csv" if all(".csv" in p for p in paths) else "json")
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    line, fields = None, schema.fields
-    if kind == "csv" and header:
-        line, fields = header_fields(_line(spark, paths, skip), delimiter, schema)
-    whole = StructType([*fields, StructField(BROKEN, StringType())])
-    options = {"sep": delimiter, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "columnNameOfCorruptRecord": BROKEN, "mode": "FAILFAST" if fail_fast else "PERMISSIVE"}
-    reader = spark.read.schema(whole).options(**options)
     if kind == "csv":
-        nulls = {"nullValue": "" if empty_string_as_null else "\0", "emptyValue": ""}
+        line = _line(spark, paths, skip) if header else None
+        names = header_names(line, delimiter) if header else schema.names
+        texts = StructType([StructField(n, StringType()) for n in [*names, BROKEN]])
         if skip:
             lines = _after_first_lines(spark, paths, skip, line).where("line <> ''")
-            rows = lines.select("_file", F.from_csv("line", ddl(whole), options | nulls).alias("r")).select("_file", "r.*")
-            return named(rows, schema).where(F.col(BROKEN).isNull()).drop(BROKEN, "_file"), rows
-        reader = reader.options(**nulls).option("header", header).option("enforceSchema", not header)
-    rows = reader.format(kind).load(paths).withColumn("_file", F.col("_metadata.file_path"))
-    return named(rows, schema).where(F.col(BROKEN).isNull()).drop(BROKEN, "_file"), rows
+            found = lines.select("_file", F.from_csv("line", ddl(texts), csv_options(delimiter)).alias("r")).select("_file", "r.*")
+        else:
+            # without pruning, so that a line is broken or not whatever columns are asked for
+            reader = spark.read.schema(texts).options(**csv_options(delimiter), columnPruning="false", header=header, enforceSchema=not header)
+            found = reader.csv(paths).withColumn("_file", F.col("_metadata.file_path"))
+        rows = typed(found, names, schema, delimiter, header, empty_string_as_null, fail_fast)
+    else:
+        whole = StructType([*schema.fields, StructField(BROKEN, StringType())])
+        reader = spark.read.schema(whole).option("mode", "FAILFAST" if fail_fast else "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
+        rows = reader.format(kind).load(paths).withColumn("_file", F.col("_metadata.file_path"))
+    return rows.where(F.col(BROKEN).isNull()).drop(BROKEN, "_file"), rows
+
+
+def csv_options(delimiter: str) -> dict[str, str]:
+    return {"sep": delimiter, "quote": '"', "escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true", "columnNameOfCorruptRecord": BROKEN, "mode": "PERMISSIVE"}
+
+
+def typed(rows: DataFrame, names: list[str], schema: StructType, delimiter: str, header: bool, empty_string_as_null: bool, fail_fast: bool) -> DataFrame:
+    """The schema's columns of rows whose values were read as texts, with BROKEN (and _file): the line if it is broken, else
+    null. BROKEN comes in as the line where the number of values is not that of names. How many there are is the place of
+    a mark put behind such a line (of code points in private use); the mark is not met where there are more."""
+    n, mark = len(names), "\ue000\ue000"
+    again = F.from_csv(F.concat(F.col(BROKEN), F.lit(delimiter + mark)), ", ".join(f"_{i} string" for i in range(n)), csv_options(delimiter))
+    size = F.when(F.col(BROKEN).isNull(), n).otherwise(F.array_position(F.array(*[again[f"_{i}"] for i in range(n)]), mark) - 1)
+    rows = rows.withColumn("_size", size)
+    odd = F.col("_size") < 0 if header else F.col("_size").between(0, n - 1)
+    columns, bad = [], F.when(odd, F.coalesce(F.col(BROKEN), F.lit("")))
+    for f in schema.fields:
+        if f.name not in names:
+            columns.append(F.lit(None).cast(f.dataType).alias(f.name))
+            continue
+        text, i = F.col(f"`{f.name}`"), names.index(f.name)
+        there = (F.col("_size") > i) | (F.col("_size") < 0)
+        if isinstance(f.dataType, StringType):
+            value = F.nullif(text, F.lit("")) if empty_string_as_null else F.when(there, F.coalesce(text, F.lit("")))
+        else:
+            text = F.nullif(text, F.lit(""))
+            value = F.from_json(text, f.dataType) if isinstance(f.dataType, (ArrayType, MapType, StructType)) else text.try_cast(f.dataType)
+            bad = F.coalesce(bad, F.when(text.isNotNull() & value.isNull(), text))
+        columns.append(value.alias(f.name))
+    bad = F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("broken line or value: "), bad)).cast("string")) if fail_fast else bad
+    return rows.select(*columns, bad.alias(BROKEN), *[c for c in ("_file",) if c in rows.columns])
 
 
 def ddl(schema: StructType) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
-def header_fields(line: str, delimiter: str, schema: StructType) -> tuple[str, list[StructField]]:
-    """A header's line, and its columns in order: those of the schema with their types, others as texts."""
+def header_names(line: str, delimiter: str) -> list[str]:
+    """The names in a header's line."""
     names = [n.strip() for n in next(csv.reader([line], delimiter=delimiter), [])]
     if not names or "" in names or len(set(names)) < len(names):
         raise ValueError(f"the header has no, empty or repeated names: {line}")
-    return line, [schema[n] if n in schema.names else StructField(n, StringType()) for n in names]
-
-
-def named(rows: DataFrame, schema: StructType) -> DataFrame:
-    """The schema's columns, null where the rows have none, beside those of bookkeeping."""
-    have = set(rows.columns)
-    return rows.select(*[F.col(f"`{f.name}`") if f.name in have else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields], *[c for c in (BROKEN, "_file") if c in have])
+    return names
 
 
 def _line(spark: SparkSession, paths: list[str], skip: int) -> str:

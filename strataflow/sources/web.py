@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .files import BROKEN, ddl, header_fields, named
+from .files import BROKEN, csv_options, ddl, header_names, typed
 
 CHUNK, LINES = 1 << 20, 10_000
 
@@ -64,21 +64,21 @@ def lines(spark: SparkSession, urls: list[str], timeout: float = 60.0) -> DataFr
     return spark.createDataFrame([(u,) for u in urls], "url string").repartition(max(1, len(urls))).mapInArrow(run, "url string, number long, line string")
 
 
-def copy_from(spark: SparkSession, urls: list[str], schema: StructType | str, format: str = "json", *, header: bool = True, delimiter: str = ",", fail_fast: bool = False) -> DataFrame:
+def copy_from(spark: SparkSession, urls: list[str], schema: StructType | str, format: str = "json", *, header: bool = True, delimiter: str = ",", empty_string_as_null: bool = False, fail_fast: bool = False) -> DataFrame:
     """Rows of JSON lines or CSV without line breaks in its values; broken lines are left out, or fail the job with fail_fast.
     A header names the columns as in files.copy_from(); it is that of the first address, and others have to have the same."""
     schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    line, fields = None, schema.fields
-    if format == "csv" and header:
-        line, fields = header_fields(next(iter(streamed(urls[0], 60.0)), b"").decode("utf-8", "replace").rstrip("\r"), delimiter, schema)
-    whole = StructType([*fields, StructField(BROKEN, StringType())])
-    mode = {"mode": "FAILFAST" if fail_fast else "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
     rows = lines(spark, urls)
-    if format == "csv":
-        spaces = {"ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-        parsed = F.from_csv("line", ddl(whole), mode | spaces | {"sep": delimiter, "quote": '"', "escape": '"'})
+    if format != "csv":
+        mode = {"mode": "FAILFAST" if fail_fast else "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+        out = rows.select(F.from_json("line", StructType([*schema.fields, StructField(BROKEN, StringType())]), mode).alias("r")).select("r.*")
+        return out.where(F.col(BROKEN).isNull()).drop(BROKEN)
+    names = schema.names
+    if header:
+        line = next(iter(streamed(urls[0], 60.0)), b"").decode("utf-8", "replace").rstrip("\r")
+        names = header_names(line, delimiter)
         other = F.raise_error(F.concat("url", F.lit(" has another header: "), "line")).cast("boolean")
-        rows = rows.where(F.when(F.col("number") > 0, True).when(F.col("line") == line, False).otherwise(other)) if header else rows
-    else:
-        parsed = F.from_json("line", whole, mode)
-    return named(rows.select(parsed.alias("r")).select("r.*"), schema).where(F.col(BROKEN).isNull()).drop(BROKEN)
+        rows = rows.where(F.when(F.col("number") > 0, True).when(F.col("line") == line, False).otherwise(other))
+    texts = StructType([StructField(n, StringType()) for n in [*names, BROKEN]])
+    found = rows.select(F.from_csv("line", ddl(texts), csv_options(delimiter)).alias("r")).select("r.*")
+    return typed(found, names, schema, delimiter, header, empty_string_as_null, fail_fast).where(F.col(BROKEN).isNull()).drop(BROKEN)

@@ -51,7 +51,8 @@ def test_http(spark):
     at = f"http://127.0.0.1:{server.server_port}"
     try:
         assert sorted(r.id for r in web.copy_from(spark, [f"{at}/a.json", f"{at}/b.json.gz"], "id int").collect()) == [1, 2, 3]
-        assert sorted((r.id, r.t) for r in web.copy_from(spark, [f"{at}/c.csv"], "id int, t string", "csv").select("id", F.coalesce("t", F.lit("-")).alias("t")).collect()) == [(1, "a, b"), (2, "-")]
+        assert sorted((r.id, r.t) for r in web.copy_from(spark, [f"{at}/c.csv"], "id int, t string", "csv", empty_string_as_null=True).select("id", F.coalesce("t", F.lit("-")).alias("t")).collect()) == [(1, "a, b"), (2, "-")]
+        assert sorted((r.id, r.t) for r in web.copy_from(spark, [f"{at}/c.csv"], "t string, id int", "csv").collect()) == [(1, "a, b"), (2, "")]
         with pytest.raises(Exception):  # noqa: B017
             web.copy_from(spark, [f"{at}/a.json"], "id int", fail_fast=True).collect()
     finally:

@@ -189,3 +189,20 @@ def test_gaps_keep_null_groups_and_values(spark):
     rows = spark.sql("select * from values (null, timestamp_ntz'2024-01-01 00:00:00', 1, null), (null, timestamp_ntz'2024-01-01 02:00:00', 2, 5), ('a', timestamp_ntz'2024-01-01 00:00:00', null, 6), ('b', null, 7, 8) as t(k, bucket, n, v)")
     got = sorted([(r.k, r.bucket and r.bucket.hour, r.n, r.v) for r in TS.fill_gaps(rows, ["k"], "1 hour", {"n": 0}).collect()], key=str)
     assert got == sorted([(None, 0, 1, None), (None, 1, 0, None), (None, 2, 2, 5), ("a", 0, None, 6), ("b", None, 7, 8)], key=str)
+
+
+def test_csv_lines_are_judged_alike_for_all_columns(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('a,b,c,d\n1,x,p,"[1, 2]"\n2,y\n3,z,q,[],LONG\n3,z,q,[],\n4,z,q,,,,\nbad,w,r,[3]\n5,,"",\n,v,s,[4]\n')
+    path, schema = str(tmp_path / "t.csv"), "a int, b string, c string, d array<int>"
+    want = [(1, "x", "p", [1, 2]), (2, "y", None, None), (5, "", "", None), (None, "v", "s", [4])]
+    key = lambda r: str(r[0])
+    assert sorted(map(tuple, files.copy_from(spark, path, schema).collect()), key=key) == want
+    assert sorted([r.a for r in files.copy_from(spark, path, schema).select("a").collect()], key=str) == [1, 2, 5, None]
+    assert sorted([r.b or "-" for r in files.copy_from(spark, path, "b string", empty_string_as_null=True).collect()]) == ["-", "v", "w", "x", "y"]
+    assert [tuple(r)[1:] for r in files.copy_summary(spark, path, schema).collect()] == [(4, 4)]
+    (tmp_path / "s.csv").write_text("note\n" + (tmp_path / "t.csv").read_text())
+    assert sorted(map(tuple, files.copy_from(spark, str(tmp_path / "s.csv"), schema, skip=1).collect()), key=key) == want
+    with pytest.raises(Exception, match="broken line or value"):
+        files.copy_from(spark, path, schema, fail_fast=True).select("b").collect()
+    (tmp_path / "n.csv").write_text("1,x\n2\n3,y,more\n")
+    assert sorted(map(tuple, files.copy_from(spark, str(tmp_path / "n.csv"), "a int, b string", header=False).collect())) == [(1, "x"), (3, "y")]
