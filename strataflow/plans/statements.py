@@ -16,6 +16,7 @@ from ..operators import analysis as An
 from ..operators import dml, schema, statements, stemming
 from ..operators import relational as R
 from ..operators import textsearch as T
+from ..operators import timeseries as TS
 from ..sources import files
 from ..sources.jdbc import Foreign
 from ..sources.scratch import scratch
@@ -98,6 +99,25 @@ def table_sets_with_nulls(t: Tables) -> DataFrame:
     return R.project_set(t.customer, ["c_custkey"], i=i, part=F.when(F.col("c_nationkey") % 5 > 0, F.split("c_mktsegment", "I")))
 
 
+@query("""with b as (select nullif(event_type, (select min(event_type) from events)) as k, time_bucket(interval '1 hour', ts, timestamp '2024-01-01') as bucket, count(*) as n, min(case when value > 99 then value end) as top from events where value > 95 group by 1, 2),
+e as (select k, unnest(generate_series(min(bucket), max(bucket), interval 1 hour)) as bucket from b group by k)
+select e.k, e.bucket, case when b.bucket is null then 0 else n end as n, case when b.bucket is null then -1 else top end as top from e left join b on b.k is not distinct from e.k and b.bucket = e.bucket""")
+def time_gap_fill_nulls(t: Tables) -> DataFrame:
+    """A group of null keys, and nulls in buckets that were there."""
+    least = t.events.agg(F.min("event_type").alias("least"))
+    rows = t.events.where("value > 95").crossJoin(F.broadcast(least)).withColumn("k", F.nullif("event_type", F.col("least")))  # one row
+    bins = TS.binned(rows, "ts", "1 hour", ["k"], F.count("*").alias("n"), F.min(F.when(F.col("value") > 99, F.col("value"))).alias("top"), origin="2024-01-01 00:00:00")
+    return TS.fill_gaps(bins, ["k"], "1 hour", {"n": 0, "top": -1.0})
+
+
+@query("select p_partkey, p_name, p_size, cast(null as date) as added, p_comment from (select p_partkey, p_name, p_size, case when p_partkey % 3 = 0 then '' else p_type end as p_comment from part)")
+def copy_csv_by_header(t: Tables) -> DataFrame:
+    """The file's columns stand in another order, one is not asked for, one that is asked for is not there."""
+    path = scratch(t.spark, "csv")
+    t.part.select("p_size", F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).alias("p_comment"), "p_brand", "p_name", "p_partkey").write.mode("overwrite").option("header", True).csv(path)
+    return files.copy_from(t.spark, path, "p_partkey bigint, p_name string, p_size int, added date, p_comment string", "csv")
+
+
 text("table_sample", "select count(*) as n from orders tablesample (100 percent)", "select count(*) as n from orders tablesample 100%", tables=("orders",))
 
 

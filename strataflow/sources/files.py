@@ -41,9 +41,11 @@ def _read(spark, paths, schema, format, header, delimiter, skip, empty_string_as
             found = reader.csv(paths).withColumn("_file", F.col("_metadata.file_path"))
         rows = typed(found, names, schema, delimiter, header, empty_string_as_null, fail_fast)
     else:
+        # lines first, for the reader of JSON refuses queries that ask for no column, such as counts
         whole = StructType([*schema.fields, StructField(BROKEN, StringType())])
-        reader = spark.read.schema(whole).option("mode", "FAILFAST" if fail_fast else "PERMISSIVE").option("columnNameOfCorruptRecord", BROKEN)
-        rows = reader.format(kind).load(paths).withColumn("_file", F.col("_metadata.file_path"))
+        mode = {"mode": "FAILFAST" if fail_fast else "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}
+        lines = spark.read.text(paths).withColumn("_file", F.col("_metadata.file_path")).where("trim(value) <> ''")
+        rows = lines.select(F.from_json("value", whole, mode).alias("r"), "_file").select("r.*", "_file")
     return rows.where(F.col(BROKEN).isNull()).drop(BROKEN, "_file"), rows
 
 
@@ -58,7 +60,8 @@ def typed(rows: DataFrame, names: list[str], schema: StructType, delimiter: str,
     n, mark = len(names), "\ue000\ue000"
     again = F.from_csv(F.concat(F.col(BROKEN), F.lit(delimiter + mark)), ", ".join(f"_{i} string" for i in range(n)), csv_options(delimiter))
     size = F.when(F.col(BROKEN).isNull(), n).otherwise(F.array_position(F.array(*[again[f"_{i}"] for i in range(n)]), mark) - 1)
-    rows = rows.withColumn("_size", size)
+    # the reader refuses queries of no column but BROKEN; this least is always size
+    rows = rows.withColumn("_size", F.least(size, F.coalesce(F.length(F.col(f"`{names[0]}`")), F.lit(0)) + n))
     odd = F.col("_size") < 0 if header else F.col("_size").between(0, n - 1)
     columns, bad = [], F.when(odd, F.coalesce(F.col(BROKEN), F.lit("")))
     for f in schema.fields:

@@ -206,3 +206,15 @@ def test_csv_lines_are_judged_alike_for_all_columns(spark, tmp_path):
         files.copy_from(spark, path, schema, fail_fast=True).select("b").collect()
     (tmp_path / "n.csv").write_text("1,x\n2\n3,y,more\n")
     assert sorted(map(tuple, files.copy_from(spark, str(tmp_path / "n.csv"), "a int, b string", header=False).collect())) == [(1, "x"), (3, "y")]
+
+
+@pytest.mark.parametrize("schema", ["b string", "a int, b string"])
+def test_copied_rows_can_be_counted(spark, tmp_path, schema):
+    (tmp_path / "t.json").write_text('{"a": 1, "b": "x"}\n{"a": 2, "b": "y"}\n\n{broken\n{"b": "z"}\n')
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n2,y\n3,z,more\n4\n")
+    for name in ("t.json", "t.csv"):
+        got = files.copy_from(spark, str(tmp_path / name), schema)
+        assert got.count() == len(got.collect()) == got.select("b").count() == 3
+    (tmp_path / "u.json").write_text('{"a": "bad", "b": "x"}\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.copy_from(spark, str(tmp_path / "u.json"), "a int, b string", fail_fast=True).select("b").collect()
