@@ -1,11 +1,17 @@
 """Registered queries on inputs that only larger tables have: sums beyond a type's range, ties, many values, several processes."""
 
+import json
+import os
+import subprocess
+import sys
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from strataflow.operators import aggregates as A
 from strataflow.plans import registry, relational, statements  # noqa: F401
+from strataflow.sources.jdbc import Foreign, shared_database
 
 
 def test_interval_sums_beyond_292_thousand_years(spark):
@@ -31,3 +37,34 @@ def test_interval_query_over_many_orders(spark, tmp_path, name):
         c.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
         want = c.execute(registry.SQL[name]).fetchall()
     assert sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).select("o_orderstatus", "seconds", "least").collect()), key=str) == sorted(want, key=str)
+
+
+def test_foreign_table_is_read_by_other_processes(folder, tmp_path):
+    """A cluster of two executors, each a process of its own."""
+    code = """
+import json, sys
+from strataflow.plans import registry, statements
+from strataflow.session import build
+
+folder, shared = sys.argv[1:]
+spark = build("local-cluster[2,1,1024]", "foreign", spark__ui__enabled="false", spark__checkpoint__dir="file://" + shared, spark__driver__host="127.0.0.1", spark__executor__memory="800m")
+print(json.dumps([list(r) for r in registry.QUERIES["foreign_jdbc"](spark, folder).collect()]))
+spark.stop()
+"""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_", "SPARK_"))} | {"PYTHONPATH": repo}
+    got = subprocess.run([sys.executable, "-c", code, folder, str(tmp_path)], capture_output=True, text=True, timeout=300, env=env, cwd=tmp_path)
+    assert got.returncode == 0, got.stderr[-2000:]
+    with duckdb.connect() as c:
+        c.execute(f"create view nation as select * from '{folder}/nation.parquet'")
+        assert sorted(map(tuple, json.loads(got.stdout.splitlines()[-1]))) == sorted(c.execute(registry.SQL["foreign_jdbc"]).fetchall())
+
+
+def test_shared_database_keeps_values(spark):
+    rows = [(1, 1 << 40, 0.5, "x" * 40_000), (2, None, None, None), (None, -1, -2.0, "")]
+    f = Foreign()
+    f.create_server("s", shared_database(spark.createDataFrame(rows, "i int, b bigint, d double, s string"), "facts"))
+    f.create_table("t", "s", "facts")
+    got = f.read(spark, "t")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+    assert [r.b for r in got.where("i > 1").collect()] == [None] and got.columns == ["i", "b", "d", "s"]
