@@ -43,6 +43,17 @@ def any_value(x: Column) -> Column:
     return F.any_value(x, F.lit(True))
 
 
+def max_by(x: Column, by: Column) -> Column:
+    """x, a whole number, of the row with the largest by; of several such rows the least x, whatever order they come in.
+    Rows in which either is null don't count."""
+    return F.max_by(x, F.when(x.isNotNull() & by.isNotNull(), F.struct(by.alias("by"), F.bitwise_not(x).alias("x"))))  # ~x falls as x rises and fits its type
+
+
+def min_by(x: Column, by: Column) -> Column:
+    """Like max_by, of the row with the least by."""
+    return F.min_by(x, F.when(x.isNotNull() & by.isNotNull(), F.struct(by.alias("by"), x.alias("x"))))
+
+
 def percentile(x: Column, p: float | list[float]) -> Column:
     """Interpolated; exact. A group's different values are held in memory: percentiles() sorts them with spilling instead,
     percentile_sketch() is approximate in bounded memory."""

@@ -68,3 +68,14 @@ def test_shared_database_keeps_values(spark):
     got = f.read(spark, "t")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
     assert [r.b for r in got.where("i > 1").collect()] == [None] and got.columns == ["i", "b", "d", "s"]
+
+
+def test_max_by_takes_the_least_key_of_ties(spark, tmp_path):
+    """Like the other engine, which takes the first row where it runs in order; nulls of either column don't count."""
+    rows = [(k, k % 7 + (k % 2) * 0.5 if k % 11 else None, "AB"[k % 2] if k % 13 else None) for k in range(-50, 400)] + [(None, 99.0, "A"), (None, -9.0, "A"), (-(2**63), 0.0, "C"), (2**63 - 1, 0.0, "C"), (1, float("nan"), "D"), (2, 5.0, "D"), (9, None, "E")]
+    spark.createDataFrame(sorted(rows, key=lambda r: (r[0] is None, r[0])), "c_custkey bigint, c_acctbal double, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    with duckdb.connect(config={"threads": 1}) as c:
+        c.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+        want = c.execute(registry.SQL["agg_max_by"]).fetchall()
+    got = registry.QUERIES["agg_max_by"](spark, str(tmp_path)).select("c_mktsegment", "richest", "poorest").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
