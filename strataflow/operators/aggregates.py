@@ -94,10 +94,24 @@ def top_k(df: DataFrame, by: list[str], x: str, k: int) -> DataFrame:
 
 
 def topk_sketch(x: Column, k: int = 8, capacity: int = 8192) -> Column:
-    """Approximate frequent items from a sketch of bounded size."""
+    """Approximate frequent items from a sketch of bounded size. Of more values than its capacity it returns only those that
+    are surely frequent, which may be none: top_sketched() deals them to several sketches."""
     return F.call_function("approx_top_k", x, F.lit(k), F.lit(capacity))
 
 
+def top_sketched(df: DataFrame, x: str, k: int, capacity: int = 8192) -> DataFrame:
+    """(item, count): the k most frequent values of x (null is one of them; ties by value), exact: values are dealt by hash to
+    so many sketches of bounded size that each stays half empty, and a sketch that takes all of its values counts exactly.
+    How many there are is estimated (by 1 %); should a sketch be too small all the same, that is an error, not another result."""
+    values = df.agg(hyperloglog_distinct(F.col(x)).alias("n")).first().n
+    parts = max(-(-2 * values // capacity), 1)
+    dealt = df.groupBy(F.pmod(F.xxhash64(x), F.lit(parts)).alias("_part")).agg(F.call_function("approx_top_k_accumulate", F.col(x), F.lit(capacity)).alias("_sketch"))
+    dropped = F.substring("_sketch.sketch", 25, 8)  # by how much counts may be too high; shorter sketches hold no values
+    exact = (F.length(dropped) == 0) | (dropped == F.lit(bytes(8)))
+    items = F.when(exact, F.call_function("approx_top_k_estimate", "_sketch", F.lit(capacity))).otherwise(F.raise_error(F.lit("a sketch had to drop values")))
+    return dealt.select(F.inline(items)).orderBy(F.desc("count"), F.col("item").asc_nulls_last()).limit(k)
+
+
 def avg_timestamp(ts: Column) -> Column:
     """Milliseconds since 1970, as a double."""
     return F.avg(F.unix_millis(ts.cast("timestamp")).cast("double"))

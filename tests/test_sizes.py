@@ -79,3 +79,22 @@ def test_max_by_takes_the_least_key_of_ties(spark, tmp_path):
         want = c.execute(registry.SQL["agg_max_by"]).fetchall()
     got = registry.QUERIES["agg_max_by"](spark, str(tmp_path)).select("c_mktsegment", "richest", "poorest").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("values", [30_000, 8193, 5, 0])
+def test_first_of_more_values_than_a_sketch_takes(spark, tmp_path, values):
+    """Counts that differ little, so that no value stands out; one of the values is null."""
+    rows = spark.range(values).select(F.when(F.col("id") != 4, F.col("id")).alias("l_suppkey"), F.explode(F.sequence(F.lit(0), (F.col("id") % 7).cast("int"))))
+    rows.repartition(5).write.parquet(f"{tmp_path}/lineitem.parquet")
+    with duckdb.connect() as c:
+        c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+        want = c.execute(registry.SQL["agg_topk_sketch_first"]).fetchall()
+        five = c.execute("select l_suppkey, count(*) from lineitem group by 1 order by 2 desc, 1 nulls last limit 5").fetchall()
+    assert list(map(tuple, registry.QUERIES["agg_topk_sketch_first"](spark, str(tmp_path)).collect())) == want
+    assert list(map(tuple, registry.QUERIES["agg_topk_sketch"](spark, str(tmp_path)).select("item", "count").collect())) == five
+
+
+def test_sketch_that_is_too_small_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(A, "hyperloglog_distinct", lambda x: F.lit(1))
+    with pytest.raises(Exception, match="drop values"):
+        A.top_sketched(spark.range(40_000), "id", 1, 1024).collect()
