@@ -98,3 +98,13 @@ def test_sketch_that_is_too_small_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(A, "hyperloglog_distinct", lambda x: F.lit(1))
     with pytest.raises(Exception, match="drop values"):
         A.top_sketched(spark.range(40_000), "id", 1, 1024).collect()
+
+
+def test_one_sketch_a_group_beside_exact_counts(spark, tmp_path):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 > 0, F.when(F.col("id") % 3 > 1, "R").otherwise("A")).alias("l_returnflag"), F.when(F.col("id") % 5 > 0, F.col("id") % 7001).alias("l_partkey"))
+    rows.union(spark.sql("select 'N', cast(null as bigint)")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = registry.QUERIES["agg_hyperloglog_error"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted([("A", True), ("N", True), ("R", True), (None, True)], key=str)
+    plan = df._jdf.queryExecution().sparkPlan().toString().splitlines()
+    sketches = [x for x in plan if "approx_count_distinct" in x and "Aggregate" in x]
+    assert sketches and not any("l_partkey" in x[x.index("keys=[") : x.index("], functions")] for x in sketches)
